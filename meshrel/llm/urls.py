@@ -111,8 +111,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     left = left.select(_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast("string").alias("verdict"), "salt")
     right = rules.select(F.translate(F.col("host"), _UPPER, _UPPER.lower()).alias("host"), "path", "verdict").where("host is not null and path is not null")
     right = right.select(_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "host", "path", "verdict", F.lit(0).cast("long").alias("salt"))
-    # A sample of bounded size, the least salts, places the cuts; every url is dealt by them.
-    sample = sorted(_place(r.key, r.salt) for r in left.select("key", "salt").orderBy("salt").limit(SAMPLE_PER_PARTITION * n).collect())
+    # A sample of bounded size, the least rehashed salts, places the cuts; every url is dealt by them.
+    sample = sorted(_place(r.key, r.salt) for r in left.select("key", "salt").orderBy(F.xxhash64("salt", F.lit(7))).limit(SAMPLE_PER_PARTITION * n).collect())
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     schema = "key string, kind int, id long, host string, path string, verdict string, salt long, bucket int"
     dealt = left.mapInArrow(_dealer(cuts, False), schema).unionByName(right.mapInArrow(_dealer(cuts, True), schema))
