@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "urls"]
+MODULES = ["mixing", "urls", "fingerprints", "jaccard"]
 
 
 def queries() -> dict:
