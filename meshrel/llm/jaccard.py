@@ -53,9 +53,11 @@ def fragment_keys(ngrams: np.ndarray, per: int) -> np.ndarray:
     """The keys of a set's fragments in both of its size classes; ``per``: least similarity in hundredths.
 
     Class c holds pairs whose larger set is within the c-th power of 100 / per; a set meets partners in its
-    own class and the next. The number of fragments exceeds the largest difference by a slack, and a set
-    with fewer empty fragments than the slack needs no key for those: with its partner it still agrees on a
-    fragment that is not empty. Sets with more also give keys for their empty ones.
+    own class and the next. The number of fragments exceeds the largest difference by a slack, so two linked
+    sets agree on at least 1 + slack fragments. A set in which no more than slack fragments hold a single
+    n-gram or none needs keys for the fuller ones only: its partner agrees on one of those. Failing that, a
+    set with no more than slack empty ones gives keys for all that are not empty, and any other for all. A
+    linked partner that shares only poor fragments is in the same case, as they are poor on both sides.
     """
     n = len(ngrams)
     growth = math.log(100 / per)
@@ -65,16 +67,21 @@ def fragment_keys(ngrams: np.ndarray, per: int) -> np.ndarray:
     for c in (own, own + 1):
         largest = int(math.floor((100 / per) ** (c + 1) + 1e-6)) + 1
         spoilt = (100 - per) * 2 * largest // (100 + per)
-        m = spoilt + 2 + spoilt // 64
+        slack = 2 + spoilt // 4
+        m = spoilt + 1 + slack
         at = (high * np.uint64(m)) >> _SHIFT
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        sums = np.add.reduceat(mix(ngrams), first)
+        size = np.diff(np.append(first, n))
         tag = np.uint64(c * 0x1000003)
-        out.append(mix(sums + mix(at[first] + (tag << _SHIFT))))
-        if m - len(first) >= m - spoilt:
+        key = mix(np.add.reduceat(mix(ngrams), first) + mix(at[first] + (tag << _SHIFT)))
+        empty = m - len(first)
+        if empty + int((size == 1).sum()) <= slack:
+            key = key[size > 1]
+        elif empty > slack:
             full = np.zeros(m, bool)
             full[at[first].astype(np.int64)] = True
             out.append(mix(np.flatnonzero(~full).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + tag))
+        out.append(key)
     return np.concatenate(out)
 
 
