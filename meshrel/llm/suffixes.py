@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,6 +380,43 @@ def kept_bytes(text, spans):
     return F.when(F.size(spans) == 0, raw).otherwise(F.aggregate(gaps, F.lit(b""), lambda x, y: F.concat(x, y)))
 
 
+def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the whole characters inside their spans."""
+    out = []
+    for t, found in zip(text, spans):
+        if not len(found):
+            out.append(t)
+            continue
+        raw = t.encode()
+        parts, at = [], 0
+        for s in found:
+            lo, hi = s["lo"], s["hi"]
+            while lo < hi and raw[lo] & 0xC0 == 0x80:
+                lo += 1
+            while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                hi -= 1
+            parts.append(raw[at:lo])
+            at = hi
+        out.append(b"".join([*parts, raw[at:]]).decode())
+    return pd.Series(out, dtype=object)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings of ``length`` bytes or more cut from their texts, as ``spans_by_text`` finds them.
+
+    Every occurrence goes, and of a character that a span cuts nothing. n_chars, if it is a column, follows the
+    text. Rows that lose all but spaces go; rows that were empty before, null ones too, stay as they are.
+    """
+    spans = spans_by_text(docs.select("doc_id", "text"), length).select(F.col("t1").alias("_s1"), F.col("t2").alias("_s2"), F.col("spans").alias("_spans"))
+    rows = _identified(docs, "text")
+    joined = rows.join(spans, (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2")), "left").drop("_t1", "_t2", "_s1", "_s2")
+    whole = joined.where("_spans is null").select(*docs.columns)
+    part = joined.where("_spans is not null").withColumn("text", F.pandas_udf(_cut_text, "string")("_text", "_spans")).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" in docs.columns:
+        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(part.select(*docs.columns))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["hi"] - s["lo"])
