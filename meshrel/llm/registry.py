@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "urls", "fingerprints", "jaccard", "suffixes", "decontamination", "chunks", "quality", "languages"]
+MODULES = ["mixing", "urls", "fingerprints", "jaccard", "suffixes", "decontamination", "chunks", "quality", "languages", "licenses"]
 
 
 def queries() -> dict:
