@@ -25,7 +25,8 @@ class _Variates:
     def __init__(self, samples: int):
         self.samples = samples
         self.known = np.zeros(0, np.uint64)
-        self.rows = np.zeros((3, 0, samples), np.float32)
+        self.place = np.zeros(0, np.int64)
+        self.rows = np.zeros((3, _CACHED, samples), np.float32)
 
     def _draw(self, terms: np.ndarray) -> np.ndarray:
         seeds = mix(terms[:, None] + (np.arange(self.samples, dtype=np.uint64) * _STEP)[None, :])
@@ -38,16 +39,23 @@ class _Variates:
         return np.stack([r, uniform(5), np.log(c)])
 
     def of(self, terms: np.ndarray) -> np.ndarray:
-        """(3, len(terms), samples) of the sorted distinct ``terms``: r, beta, ln c."""
-        if len(self.known) + len(terms) > _CACHED:
-            self.known, self.rows = np.zeros(0, np.uint64), np.zeros((3, 0, self.samples), np.float32)
-        new = terms[~np.isin(terms, self.known, assume_unique=True)]
+        """The places in ``rows`` (r, beta, ln c) of the sorted distinct ``terms``; new ones are drawn and appended."""
+        at = np.minimum(np.searchsorted(self.known, terms), max(0, len(self.known) - 1))
+        old = self.known[at] == terms if len(self.known) else np.zeros(len(terms), bool)
+        new = terms[~old]
+        if len(self.known) + len(new) > self.rows.shape[1]:
+            self.known, self.place, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), terms
+            if len(new) > self.rows.shape[1]:
+                self.rows = np.zeros((3, len(new), self.samples), np.float32)
         if len(new):
+            first = len(self.known)
+            for a in range(0, len(new), 4096):
+                part = new[a : a + 4096]
+                self.rows[:, first + a : first + a + len(part)] = self._draw(part)
             known = np.concatenate([self.known, new])
-            order = np.argsort(known)
-            self.rows = np.concatenate([self.rows, self._draw(new)], axis=1)[:, order]
-            self.known = known[order]
-        return self.rows[:, np.searchsorted(self.known, terms)]
+            order = np.argsort(known, kind="stable")
+            self.known, self.place = known[order], np.concatenate([self.place, np.arange(first, first + len(new))])[order]
+        return self.place[np.searchsorted(self.known, terms)]
 
 
 def signatures(column: pa.Array, variates: _Variates) -> np.ndarray:
@@ -68,22 +76,23 @@ def signatures(column: pa.Array, variates: _Variates) -> np.ndarray:
         pairs, count = np.unique(row.astype(np.int64) * len(terms) + at, return_counts=True)
         row, at = pairs // len(terms), pairs % len(terms)
         logs = np.log(count).astype(np.float32)
-        fixed = variates.of(terms)
+        place = variates.of(terms)[at]
         edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
         # Whole rows at a time, so that the working set stays near 4,096 pairs.
         i = 0
         while i < len(edges) - 1:
             j = max(i + 1, int(np.searchsorted(edges, edges[i] + 4096, "right")) - 1)
             a, b = edges[i], edges[j]
-            r, beta, ln_c = (x[at[a:b]] for x in fixed)
+            r, beta, ln_c = (x[place[a:b]] for x in variates.rows)
             t = np.floor(logs[a:b, None] / r + beta)
             ln_a = ln_c - r * (t - beta + 1)
             first = edges[i:j] - a
             least = np.minimum.reduceat(ln_a, first, axis=0)
-            where = ln_a == np.repeat(least, np.diff(edges[i : j + 1]), axis=0)
-            value = mix(terms[at[a:b], None] + t.astype(np.int64).astype(np.uint64) * _STEP)
-            value = np.where(where, (value >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
-            out[lo + row[edges[i:j]]] = np.maximum.reduceat(value, first, axis=0)
+            pair, sample = np.nonzero(ln_a == np.repeat(least, np.diff(edges[i : j + 1]), axis=0))
+            # The samples of rows, from the few places of the least; of equal ones the greatest.
+            value = mix(terms[at[a:b][pair]] + t[pair, sample].astype(np.int64).astype(np.uint64) * _STEP)
+            owner = lo + row[a:b][pair]
+            np.maximum.at(out, (owner, sample), (value >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
             i = j
     return out
 
