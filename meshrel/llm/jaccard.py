@@ -2,15 +2,18 @@
 
 The global order of n-grams is that of their 64-bit hashes; a *fragment* is an equal interval of it.
 
-1. Each document's n-gram set is cut into the fragments of its size classes. Two sets of Jaccard
+1. Each document's n-gram set is cut into the fragments of its two size classes. Two sets of Jaccard
    similarity of at least t differ in at most (1 - t) / (1 + t) * (|A| + |B|) n-grams, each of which spoils
    one fragment; with more fragments than that, at least one is the same on both sides. Equal fragments
-   make a star of candidates, never all pairs.
-2. Connected components of the stars hold every linked pair. Large ones are cut into hashed blocks, and
-   each pair of blocks is one task of bounded size.
-3. Within a pair of blocks the n-grams are cut into fragments again; the overlaps of all pairs of documents
-   are counted fragment by fragment as a product of incidence matrices, and summed per pair. Only links of
-   the exact similarity leave the task, as one row per document: its least linked partner and its links.
+   make a star of candidates, never all pairs. A node of a star is a set in one of its classes.
+2. Connected components of the stars hold every linked pair, and sets of similar sizes only. Large ones are
+   cut into hashed blocks, and each pair of blocks is one task of bounded size.
+3. A bit per narrow interval of the order tells whether a set has n-grams there. Bits that differ bound the
+   n-grams that differ from below, so within a pair of blocks the bits alone rule out most pairs. The
+   components of the rest are small, and only their whole sets are shipped.
+4. Within a pair of blocks of those the n-grams are cut into fragments again; the overlaps of all pairs of
+   documents are counted fragment by fragment as a product of incidence matrices, and summed per pair. Only
+   links of the exact similarity leave the task, as one row per document: its least linked partner and its links.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .textkernel import distinct_sorted, mix, shingle_hashes, span_hashes, texts
 
 BLOCK = 384
 CELLS = 6_000_000
+#: A node is the short signature of a set, with a multiple of this for its class.
+NODE = 0x9E3779B97F4A7
 _SHIFT = np.uint64(32)
 
 
@@ -49,8 +54,13 @@ def _short(signature: bytes) -> int:
     return int.from_bytes(signature[:8], "big", signed=True)
 
 
-def fragment_keys(ngrams: np.ndarray, per: int) -> np.ndarray:
-    """The keys of a set's fragments in both of its size classes; ``per``: least similarity in hundredths.
+def own_class(n: int, per: int) -> int:
+    """The power of 100 / per below or at a size of n."""
+    return int(math.floor(math.log(n) / math.log(100 / per) + 1e-9))
+
+
+def fragment_keys(ngrams: np.ndarray, per: int) -> list[tuple[int, np.ndarray]]:
+    """(class, keys of a set's fragments) for both of its size classes; ``per``: least similarity in hundredths.
 
     Class c holds pairs whose larger set is within the c-th power of 100 / per; a set meets partners in its
     own class and the next. The number of fragments exceeds the largest difference by a slack, so two linked
@@ -60,8 +70,7 @@ def fragment_keys(ngrams: np.ndarray, per: int) -> np.ndarray:
     linked partner that shares only poor fragments is in the same case, as they are poor on both sides.
     """
     n = len(ngrams)
-    growth = math.log(100 / per)
-    own = int(math.floor(math.log(n) / growth + 1e-9))
+    own = own_class(n, per)
     out = []
     high = ngrams >> _SHIFT
     for c in (own, own + 1):
@@ -80,19 +89,33 @@ def fragment_keys(ngrams: np.ndarray, per: int) -> np.ndarray:
         elif empty > slack:
             full = np.zeros(m, bool)
             full[at[first].astype(np.int64)] = True
-            out.append(mix(np.flatnonzero(~full).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + tag))
-        out.append(key)
-    return np.concatenate(out)
+            key = np.concatenate([mix(np.flatnonzero(~full).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + tag), key])
+        out.append((c, key))
+    return out
+
+
+def presence(ngrams: np.ndarray, own: int, per: int) -> np.ndarray:
+    """Packed bits of the intervals of the order that hold n-grams; four or more intervals to an n-gram."""
+    out = np.zeros(1 << _width(own, per), np.uint8)
+    out[(ngrams >> np.uint64(64 - _width(own, per))).astype(np.int64)] = 1
+    return np.packbits(out)
 
 
-def _signer(k: int):
+def _width(own: int, per: int) -> int:
+    return max(3, math.ceil(math.log2(4 * (100 / per) ** (own + 1))))
+
+
+def _signer(k: int, per: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, sign = [], []
+            count, sign, own, bits = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 count.append(len(s))
                 sign.append(_signature(s) if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(sign, pa.binary())], names=["doc_id", "n_shingles", "sig"])
+                own.append(own_class(len(s), per) if len(s) else None)
+                bits.append(presence(s, own[-1], per).tobytes() if len(s) else None)
+            columns = [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(sign, pa.binary()), pa.array(own, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "sig", "own", "bits"])
 
     return sign
 
@@ -109,9 +132,10 @@ def _keyer(k: int, per: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                keys.append(fragment_keys(s, per).view(np.int64))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
-                held += len(nodes[-1])
+                for c, key in fragment_keys(s, per):
+                    keys.append(key.view(np.int64))
+                    nodes.append(np.full(len(key), node ^ (c + 1) * NODE, np.int64))
+                    held += len(key)
                 if held > 200_000:
                     yield pa.record_batch([np.concatenate(keys), np.concatenate(nodes)], names=["key", "node"])
                     keys, nodes, held = [], [], 0
@@ -150,11 +174,11 @@ def _packer(k: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, packed, held = [], [], 0
-            sigs = batch.column("sig").to_pylist()
+            sigs = batch.column("id").to_pylist()
 
             def out():
-                part = batch.select(["sig", "cluster", "blocks"]).take(pa.array(rows, pa.int64()))
-                return pa.record_batch([*part.columns, pa.array(packed, pa.binary())], names=[*part.schema.names, "ngrams"])
+                part = batch.select(["id", "places"]).take(pa.array(rows, pa.int64()))
+                return pa.record_batch([*part.columns, pa.array(packed, pa.binary())], names=[*part.schema.names, "packed"])
 
             for i, s in enumerate(_sets(batch.column("text"), k)):
                 if len(s) and _signature(s) == sigs[i]:
@@ -196,36 +220,82 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS
     return total
 
 
+def shared_bits(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(common, differing) bits of all of ``left`` with all of ``right``; longer ones are halved to the shortest."""
+    least = min(len(b) for b in (*left, *right))
+    sides = []
+    for side in (left, right):
+        rows = []
+        for b in side:
+            while len(b) > least:
+                wide = np.unpackbits(b)
+                b = np.packbits(wide[::2] | wide[1::2])
+            rows.append(b)
+        sides.append(np.stack(rows))
+    common = np.zeros((len(left), len(right)), np.float32)
+    held = [np.zeros(len(side), np.float32) for side in sides]
+    step = max(1, cells // 8 // max(len(left), len(right)))
+    for lo in range(0, least, step):
+        a, b = (np.unpackbits(side[:, lo : lo + step], axis=1).astype(np.float32) for side in sides)
+        common += a @ b.T
+        held[0] += a.sum(1)
+        held[1] += b.sum(1)
+    return common, held[0][:, None] + held[1][None, :] - 2 * common
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], per: int, exact: bool) -> Iterator[tuple[list, list, np.ndarray, bool]]:
+    """(ids, other ids, linked, whether both sides are one) of each pair of blocks; ``exact``: by sets, else by bits.
+
+    A pair is for the class of its larger set, so two sets that are both of the class below do not meet.
+    """
+    for group in runs(batches, ["cluster", "low", "high"]):
+        c = group.to_pydict()
+        low, high = c["low"][0], c["high"][0]
+        sides: list[dict] = [{}, {}]
+        for name, block, top, n, packed in zip(c["id"], c["block"], c["top"], c["n_shingles"], c["packed"]):
+            sides[int(block != low)][name] = (top, n, np.frombuffer(packed, np.uint64 if exact else np.uint8))
+        left = sides[0]
+        right = left if low == high else sides[1]
+        if not left or not right or low == high and len(left) < 2:
+            continue
+        top, n, held = ([x[i] for x in left.values()] for i in range(3))
+        other_top, other_n, other_held = ([x[i] for x in right.values()] for i in range(3))
+        both = np.array(n, np.float64)[:, None] + np.array(other_n, np.float64)[None, :]
+        if exact:
+            shared = overlaps(held, other_held).astype(np.float64)
+            linked = 100 * shared >= per * (both - shared)
+        else:
+            linked = (100 + per) * shared_bits(held, other_held)[1].astype(np.float64) <= (100 - per) * both
+        linked &= np.array(top)[:, None] | np.array(other_top)[None, :]
+        if low == high:
+            np.fill_diagonal(linked, False)
+        yield list(left), list(right), linked, low == high
+
+
+def _bounder(per: int):
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, others, near, same in _meetings(batches, per, False):
+            edges = _forest(near, same)
+            if edges:
+                yield pa.record_batch([pa.array([ids[i] for i, _ in edges], pa.int64()), pa.array([others[j] for _, j in edges], pa.int64())], names=["a", "b"])
+
+    return bound
+
+
 def _linker(per: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"a": [], "b": [], "links": []}
-        for group in runs(batches, ["cluster", "low", "high"]):
-            c = group.to_pydict()
-            low, high = c["low"][0], c["high"][0]
-            sides: list[dict[bytes, np.ndarray]] = [{}, {}]
-            for sig, block, packed in zip(c["sig"], c["block"], c["ngrams"]):
-                sides[int(block != low)][sig] = np.frombuffer(packed, np.uint64)
-            left = sides[0]
-            right = left if low == high else sides[1]
-            if not left or not right or low == high and len(left) < 2:
-                continue
-            sigs, others = list(left), list(right)
-            shared = overlaps(list(left.values()), list(right.values()))
-            sizes = np.array([len(s) for s in left.values()], np.float64)
-            other_sizes = np.array([len(s) for s in right.values()], np.float64)
-            linked = 100 * shared.astype(np.float64) >= per * (sizes[:, None] + other_sizes[None, :] - shared)
-            if low == high:
-                np.fill_diagonal(linked, False)
-            for mine, theirs, hits in ((sigs, others, linked), *([] if low == high else [(others, sigs, linked.T)])):
+        for sigs, others, linked, same in _meetings(batches, per, True):
+            for mine, theirs, hits in ((sigs, others, linked), *([] if same else [(others, sigs, linked.T)])):
                 order = sorted(range(len(theirs)), key=theirs.__getitem__)
                 hits = hits[:, order]
                 for i in np.flatnonzero(hits.any(1)):
                     held["a"].append(mine[i])
                     held["b"].append(theirs[order[int(hits[i].argmax())]])
                     held["links"].append(int(hits[i].sum()))
-            if low != high or len(left) > 2:
+            if not same or len(sigs) > 2:
                 # The least partner of each row may leave parts of one component apart; a forest joins them.
-                for i, j in _forest(linked, low == high):
+                for i, j in _forest(linked, same):
                     held["a"].append(sigs[i])
                     held["b"].append(others[j])
                     held["links"].append(0)
@@ -268,6 +338,19 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
+def _met(sets: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` over each pair of blocks of each cluster; sets: id, cluster, blocks, top, n_shingles, packed."""
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "top", "n_shingles", "packed")
+    keys = ["cluster", "low", "high"]
+    return placed.repartition(partitions(sets.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(kernel, schema)
+
+
+def _sized(inside: DataFrame) -> DataFrame:
+    """``inside`` with the number of blocks of its row's cluster."""
+    return inside.join(inside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster")
+
+
 def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     """Links documents whose sets of k-word shingles have a Jaccard similarity of at least per / 100.
 
@@ -284,30 +367,34 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = settle(docs.mapInArrow(_signer(k, per), "doc_id long, n_shingles long, sig binary, own int, bits binary"))
     named = docs.where("doc_id is not null")
-    signed = settle(docs.mapInArrow(_signer(k), "doc_id long, n_shingles long, sig binary"))
     keys = named.mapInArrow(_keyer(k, per), "key long, node long")
     stars = keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    near = components(stars)
-
-    classes = signed.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    inside = classes.withColumn("node", node).join(near, "node").select("sig", "rep", F.col("label").alias("cluster"))
-    size = inside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    inside = inside.join(size, "cluster").select("sig", F.col("rep").alias("doc_id"), "cluster", "blocks")
-    packed = inside.join(named, "doc_id").select("sig", "cluster", "blocks", "text").mapInArrow(_packer(k), "sig binary, cluster long, blocks int, ngrams binary")
-    packed = packed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    packed = packed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    packed = packed.select("sig", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ngrams")
-    links = settle(packed.repartition(n, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(_linker(per), "a binary, b binary, links long"))
+
+    rows = signed.where("sig is not null and doc_id is not null")
+    classes = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"))
+    short = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    places = classes.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    places = places.select("sig", "rep", "n_shingles", short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).alias("node"), (F.col("up") == 0).alias("top"))
+
+    inside = _sized(places.join(components(stars).withColumnRenamed("label", "cluster"), "node"))
+    bits = rows.select(F.col("doc_id").alias("rep"), "sig", F.col("bits").alias("packed"))
+    inside = inside.join(bits, ["rep", "sig"]).withColumnRenamed("node", "id")
+    near = components(_met(inside, _bounder(per), "a long, b long"))
+
+    inside = _sized(places.join(near.withColumnRenamed("label", "cluster"), "node"))
+    inside = inside.groupBy(F.col("sig").alias("id"), F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "blocks", "top", "n_shingles")).alias("places"))
+    packed = inside.join(named, "doc_id").select("id", "places", "text").mapInArrow(_packer(k), f"id binary, places {inside.schema['places'].dataType.simpleString()}, packed binary")
+    links = settle(_met(packed.select("id", F.inline("places"), "packed"), _linker(per), "a binary, b binary, links long"))
 
     joined = components(links)
     counted = links.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("n_links"))
-    classes = classes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    classes = classes.select("sig", "rep").join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = classes.join(least, "label").join(counted, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = signed.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.where("sig is not null and doc_id is not null").join(classes, "sig").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
+    return rows.select("doc_id", "n_shingles", "sig").join(classes, "sig").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
