@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plans.report", "plans.aggregates", "plans.meshes", "plans.clouds"]
+MODULES = ["plans.report", "plans.aggregates", "plans.meshes", "plans.graphs", "plans.clouds"]
 
 
 def queries() -> dict:
