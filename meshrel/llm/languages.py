@@ -17,7 +17,6 @@ from .urls import host_of, path_of
 GRAM = 3
 BITS = 15
 TRAIN_ROWS = 8_000
-TRAIN_BYTES = 4_000
 DECLARED_TRUST = 0.9
 SUFFIX_TRUST = 0.8
 HOST_STRENGTH = 20.0
@@ -49,7 +48,7 @@ def _grams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return bucket, counts[owner]
 
 
-def _gram_counter(languages: list[str], bits: int, most_bytes: int):
+def _gram_counter(languages: list[str], bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), 1 << bits), np.int64)
         for batch in batches:
@@ -73,10 +72,10 @@ def fit_languages(labelled: DataFrame, bits: int = BITS, most_rows: int = TRAIN_
     rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kept = rows.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h").limit(most_rows).select("doc_id").distinct()
     rows = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("text", "lang")
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(1000).collect())
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     counts = np.full((len(languages), 1 << bits), 0.5)
     if languages:
-        got = rows.mapInArrow(_gram_counter(languages, bits, TRAIN_BYTES), "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        got = rows.mapInArrow(_gram_counter(languages, bits), "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
         np.add.at(counts, (got.column("label").to_numpy(), got.column("bucket").to_numpy()), got.column("n").to_numpy())
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts
     return {"languages": languages, "bits": bits, "logs": logs.astype(np.float32)}

@@ -164,9 +164,10 @@ def fit_quality(labelled: DataFrame, bits: int = DIMENSION_BITS, most_rows: int
         sample = labelled.where(F.col("label") == label)
         kept = sample.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most_rows // 2)
         sample = sample.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select("label", "text")
-        for r in sample.mapInArrow(sparse, "label int, found array<int>").toArrow().to_pylist():
-            rows.append(np.array(r["found"], np.int64))
-            labels.append(r["label"])
+        # In order of the rows' features, so that reruns fit the same model.
+        for found in sorted(r["found"] for r in sample.mapInArrow(sparse, "label int, found array<int>").toArrow().to_pylist()):
+            rows.append(np.array(found, np.int64))
+            labels.append(label)
     weight, bias = fit_hinge(rows, np.array(labels), ratio)
     model = {"bits": bits, "weight": weight.astype(np.float32), "bias": float(bias), "slope": 4.0, "ratio": ratio.astype(np.float32)}
     return model
@@ -203,13 +204,14 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """Whether crc32 of the id as text leaves 1 by 3; a null id is not held out, and no label belongs to it."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id", F.col("quality").alias("label"))
-    train = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("doc_id", "text").join(labels, "doc_id")
+    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
     scored = score_quality(docs, fit_quality(train))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
