@@ -141,14 +141,25 @@ def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, epo
     return weight, bias
 
 
-def fit_quality(labelled: DataFrame, bits: int = DIMENSION_BITS, most_rows: int = TRAIN_ROWS) -> dict:
-    """A model from (doc_id, text, label) rows, label 0 or 1; others are ignored.
+def fit_quality(rows: DataFrame, labels: DataFrame | None = None, bits: int = DIMENSION_BITS, most_rows: int = TRAIN_ROWS) -> dict:
+    """A model from rows (doc_id, text) and their labels (doc_id, label), 0 or 1; others are ignored.
+
+    Without ``labels``, label is a column of ``rows``. Texts meet their labels in one shuffle at every size; the
+    sample is chosen from the ids alone, and its texts are read by a broadcast of at most ``most_rows`` ids.
 
     The log-count ratios come from all rows. The hinge loss is fitted on the ``most_rows`` rows of each
     label at most that come first by a hash of doc_id: a bounded sample that the driver can hold. With rows
     of one label only, or none, every text scores 0.5.
     """
-    labelled = labelled.where("label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    own = [] if labels is not None else [F.col("label").cast("int").alias("label")]
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *own)
+    if labels is None:
+        labelled = rows.where("label in (0, 1)")
+        ids = labelled.select("doc_id", "label")
+    else:
+        labels = labels.where("label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+        labelled = rows.join(labels.hint("merge"), "doc_id")
+        ids = labels.join(rows.select("doc_id").hint("merge"), "doc_id")
     ratio, totals = log_count_ratios(labelled, bits)
     if not totals.all():
         return {"bits": bits, "weight": np.zeros(1 << bits, np.float32), "bias": 0.0, "slope": 1.0, "ratio": ratio.astype(np.float32)}
@@ -159,16 +170,16 @@ def fit_quality(labelled: DataFrame, bits: int = DIMENSION_BITS, most_rows: int
                 found, at = features(data, off, bits)
                 yield pa.record_batch([batch.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))], names=["label", "found"])
 
-    rows, labels = [], []
+    vectors, targets = [], []
     for label in (0, 1):
-        sample = labelled.where(F.col("label") == label)
-        kept = sample.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most_rows // 2)
-        sample = sample.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select("label", "text")
+        kept = ids.where(F.col("label") == label).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most_rows // 2)
+        pool = rows.where(F.col("label") == label) if own else rows
+        sample = pool.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select(F.lit(label).alias("label"), "text")
         # In order of the rows' features, so that reruns fit the same model.
         for found in sorted(r["found"] for r in sample.mapInArrow(sparse, "label int, found array<int>").toArrow().to_pylist()):
-            rows.append(np.array(found, np.int64))
-            labels.append(label)
-    weight, bias = fit_hinge(rows, np.array(labels), ratio)
+            vectors.append(np.array(found, np.int64))
+            targets.append(label)
+    weight, bias = fit_hinge(vectors, np.array(targets), ratio)
     model = {"bits": bits, "weight": weight.astype(np.float32), "bias": float(bias), "slope": 4.0, "ratio": ratio.astype(np.float32)}
     return model
 
@@ -211,8 +222,8 @@ def held_out(doc_id):
 def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id", F.col("quality").alias("label"))
-    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
-    scored = score_quality(docs, fit_quality(train))
+    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(train, labels.where(~held_out(F.col("doc_id")))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
