@@ -38,3 +38,31 @@ def test_later_copies_of_a_passage_go(spark):
     assert 400 <= gone[2] <= 600 and 800 <= gone[6] <= 1250
     for i, start in ((2, 500),):
         assert all(s.lo >= start for s in got[i].spans)
+
+
+def _short_passages(number):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for i in range(number):
+        passage = prose(51 + i % 10)
+        for j in (0, number):
+            head = f"{prose(40)} {j} "
+            rows.append((i + j, f"{head}{passage} {j} {prose(40)}"))
+        want[number + i] = len(head), len(head) + len(passage)
+    return rows, want
+
+
+def test_short_passages_go_whole_in_any_surroundings(spark):
+    rows, want = _short_passages(200)
+    got = {r.doc_id: r.spans for r in chunks.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(200))
+    assert all(len(got[i]) == 1 and got[i][0].lo <= lo and got[i][0].hi >= hi and got[i][0].hi - got[i][0].lo <= hi - lo + 2 for i, (lo, hi) in want.items())
+
+
+def test_growth_goes_on_beyond_one_round(spark):
+    rows, want = _short_passages(30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    far = {r.doc_id: r.spans for r in chunks.repeated_chunks(docs, reach=2).collect()}
+    assert far == {r.doc_id: r.spans for r in chunks.repeated_chunks(docs).collect()} and all(far[i] for i in want)
