@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from .frames import table
 from .textkernel import mix, span_hashes, texts_of, word_spans
 
-#: The masks; 1 is a word that must agree, 0 one that may differ.
-MASKS = ["11111111", "1110110111", "1101100110111", "1011010010110101"]
+#: The masks; 1 is a word that must agree, 0 one that may differ. They hit every overlap of at least 12
+#: equal words and a share of 0.8: with m words changed and no four equal ones in a row, 4 m <= equal words <= 3 (m + 1),
+#: so m is 3 and the only such overlap is 111011101110111.
+MASKS = ["1111", "1110111"]
 LEAST_WORDS = 12
 LEAST_SHARE = 0.8
 BLOCK_WORDS = 2_000_000
+PIECE = 1_000_000
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -50,20 +53,22 @@ class Tests:
         counts = np.concatenate([np.diff(o) for _, o in parts]) if parts else np.zeros(0, np.int64)
         self.off = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         self.seeds = []
-        for tag, mask in enumerate(masks):
+        whole = ["1" * n for n in range(1, min(map(len, masks)))]
+        self.masks = [*masks, *whole]
+        for tag, mask in enumerate(self.masks):
             value, at = _seeds(self.words, self.off, mask, tag)
+            if tag >= len(masks):
+                # Items shorter than any mask are hit as a whole.
+                item = np.searchsorted(self.off, at, "right") - 1
+                fit = counts[item] == len(mask)
+                value, at = value[fit], at[fit]
             order = np.argsort(value, kind="stable")
             self.seeds.append((value[order], at[order]))
 
-    def spans(self, words: np.ndarray, word_off: np.ndarray, masks: list[str], least_words: int, least_share: float) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, first word, end word, equal words) of verified overlaps of one slice.
-
-        Hits on one diagonal (row, item, distance) that overlap or touch a gap of ``least_words`` are one
-        region. It is grown to both sides while the share of equal words holds, and counts if it has
-        ``least_words`` equal words, or all of a shorter item's.
-        """
-        found = []
-        for tag, mask in enumerate(masks):
+    def _diagonals(self, words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
+        """The different (row, item, distance) of all hits, as columns."""
+        found = [np.zeros((0, 3), np.int64)]
+        for tag, mask in enumerate(self.masks):
             known, places = self.seeds[tag]
             if not len(known):
                 continue
@@ -71,52 +76,79 @@ class Tests:
             first = np.searchsorted(known, value, "left")
             hit = first < len(known)
             hit[hit] = known[first[hit]] == value[hit]
-            if not hit.any():
-                continue
             at, first = at[hit], first[hit]
             count = np.searchsorted(known, value[hit], "right") - first
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([np.repeat(at, count), places[np.repeat(first, count) + inside], np.full(len(inside), len(mask))], 1))
-        if not found:
-            return []
-        hits = np.concatenate(found)
-        diagonal = hits[:, 0] - hits[:, 1]
-        row = np.searchsorted(word_off, hits[:, 0], "right") - 1
-        item = np.searchsorted(self.off, hits[:, 1], "right") - 1
-        order = np.lexsort((hits[:, 0], diagonal, item, row))
-        hits, diagonal, row, item = hits[order], diagonal[order], row[order], item[order]
-        new = np.ones(len(hits), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (hits[1:, 0] > hits[:-1, 0] + least_words)
-        start = np.flatnonzero(new)
+            for a, b in _pieces(count):
+                n = count[a:b]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                here, there = np.repeat(at[a:b], n), places[np.repeat(first[a:b], n) + inside]
+                row, item = (np.searchsorted(off, x, "right") - 1 for off, x in ((word_off, here), (self.off, there)))
+                found.append(_different(np.stack([row, item, here - there], 1)))
+        return _different(np.concatenate(found))
+
+    def spans(self, words: np.ndarray, word_off: np.ndarray, least_words: int, least_share: float) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, first word, end word, equal words) of the overlaps of one slice.
+
+        On each diagonal (row, item, distance) with a hit, the window with the most equal words whose share of equal
+        words is at least ``least_share`` counts if it has ``least_words`` of them, or all of a shorter item's; then
+        the best ones before and after it.
+        """
+        row, item, diagonal = self._diagonals(words, word_off).T
+        low = np.maximum(word_off[row], self.off[item] + diagonal)
+        size = np.minimum(word_off[row + 1], self.off[item + 1] + diagonal) - low
+        least = np.minimum(least_words, self.off[item + 1] - self.off[item])
         out = []
-        for a, b in zip(start, np.concatenate((start[1:], [len(hits)]))):
-            r, t, d = int(row[a]), int(item[a]), int(diagonal[a])
-            low = max(int(word_off[r]), int(self.off[t]) + d)
-            high = min(int(word_off[r + 1]), int(self.off[t + 1]) + d)
-            equal = words[low:high] == self.words[low - d : high - d]
-            lo, hi = int(hits[a, 0]) - low, int((hits[a:b, 0] + hits[a:b, 2]).max()) - low
-            lo, hi = _grow(equal, lo, hi, least_share)
-            same = int(equal[lo:hi].sum())
-            item_words = int(self.off[t + 1] - self.off[t])
-            if same >= min(least_words, item_words) and same >= least_share * (hi - lo):
-                out.append((r, t, low + lo - int(word_off[r]), low + hi - int(word_off[r]), same))
+        for a, b in _pieces(size):
+            n = size[a:b]
+            start = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(start - low[a:b], n)
+            equal = words[at] == self.words[at - np.repeat(diagonal[a:b], n)]
+            for i in np.flatnonzero(np.add.reduceat(equal, start, dtype=np.int64) >= least[a:b]).tolist():
+                r, t = int(row[a + i]), int(item[a + i])
+                shift = int(low[a + i] - word_off[r])
+                for lo, hi, same in _windows(equal[start[i] : start[i] + n[i]], int(least[a + i]), least_share):
+                    out.append((r, t, shift + lo, shift + hi, same))
         return out
 
 
-def _grow(equal: np.ndarray, lo: int, hi: int, share: float) -> tuple[int, int]:
-    """Extends [lo, hi) to each side as far as the extension has ``share`` of equal words."""
-    right = equal[hi:]
-    if len(right):
-        good = np.flatnonzero(np.cumsum(right) >= share * np.arange(1, len(right) + 1))
-        hi += int(good[-1]) + 1 if len(good) else 0
-    left = equal[:lo][::-1]
-    if len(left):
-        good = np.flatnonzero(np.cumsum(left) >= share * np.arange(1, len(left) + 1))
-        lo -= int(good[-1]) + 1 if len(good) else 0
-    return lo, hi
-
-
-def _matcher(tests: Tests, masks: list[str], least_words: int, least_share: float):
+def _pieces(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts positive counts into stretches of PIECE in sum, or of one."""
+    total = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PIECE, "right")))
+        yield a, b
+        a = b
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    x = x[np.lexsort(x.T[::-1])]
+    return x[np.concatenate(([True], (x[1:] != x[:-1]).any(1)))] if len(x) else x
+
+
+def _windows(equal: np.ndarray, least: int, share: float) -> list[tuple[int, int, int]]:
+    """(lo, hi, equal words) of disjoint windows with ``share`` and ``least`` equal words, the best first."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        a, b = todo.pop()
+        same = np.concatenate(([0], np.cumsum(equal[a:b], dtype=np.int64)))
+        if same[-1] < least:
+            continue
+        # A window [i, j) has the share if the surplus at j is not under that at i; the farthest such j is best for i.
+        surplus = same * 1_000_000 - np.arange(len(same)) * round(share * 1_000_000)
+        ahead = np.maximum.accumulate(surplus[::-1])
+        far = len(same) - 1 - np.searchsorted(ahead, surplus, "left")
+        gain = same[far] - same
+        i = int(len(gain) - 1 - np.argmax(gain[::-1]))
+        if gain[i] < least:
+            continue
+        j = int(np.searchsorted(same, same[far[i]], "left"))
+        out.append((a + i, a + j, int(gain[i])))
+        todo += [(a, a + i), (a + j, b)]
+    return out
+
+
+def _matcher(tests: Tests, least_words: int, least_share: float):
     names = ["doc_id", "item_id", "first_word", "end_word", "equal_words"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +156,7 @@ def _matcher(tests: Tests, masks: list[str], least_words: int, least_share: floa
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for lo, _, words, word_off in _words(batch.column("text")):
-                for r, t, first, end, same in tests.spans(words, word_off, masks, least_words, least_share):
+                for r, t, first, end, same in tests.spans(words, word_off, least_words, least_share):
                     rows.append((ids[lo + r], int(tests.ids[t]), first, end, same))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=names)
@@ -136,14 +168,14 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, masks: list[str] | Non
     """Overlaps of documents with benchmark items: (doc_id, item_id, first_word, end_word, equal_words).
 
     Words are runs of characters other than space and tab to carriage return, A-Z lower-cased. Each mask is
-    laid at every word of both sides and hashes the words under its ones; equal hashes are hits. Around
+    laid at every word of both sides and hashes the words under its ones; equal hashes are hits. Along
     hits the two texts are compared word by word without shifts: an overlap has at least ``least_words``
-    equal words (or all those of a shorter item) and a share of at least ``least_share`` of its words.
+    equal words (or all those of a shorter item) and a share of at least ``least_share`` of its words. At the
+    default rule the default masks hit every such overlap; items shorter than any mask are hit as a whole.
 
     The benchmark goes to the executors in blocks of at most ``block_words`` words (32 bytes each and as many
     for each mask), one pass over the documents for each block, so nothing that is shipped grows with either
-    table. Null and empty texts on either side give nothing; repeated rows give repeated overlaps; items
-    shorter than the shortest mask are not found. Rows without doc_id come out without one. Other columns
+    table. Null and empty texts on either side give nothing; repeated rows give repeated overlaps. Rows without doc_id come out without one. Other columns
     are ignored.
     """
     spark = docs.sparkSession
@@ -155,7 +187,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, masks: list[str] | Non
     size = 0
 
     def search():
-        found = rows.mapInArrow(_matcher(Tests(*block, masks), masks, least_words, least_share), schema)
+        found = rows.mapInArrow(_matcher(Tests(*block, masks), least_words, least_share), schema)
         return found if out is None else out.unionByName(found)
 
     for r in items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
