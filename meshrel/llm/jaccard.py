@@ -379,13 +379,15 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     places = places.select("sig", "rep", "n_shingles", short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).alias("node"), (F.col("up") == 0).alias("top"))
 
     inside = _sized(places.join(components(stars).withColumnRenamed("label", "cluster"), "node"))
-    bits = rows.select(F.col("doc_id").alias("rep"), "sig", F.col("bits").alias("packed"))
+    bits = rows.groupBy(F.col("doc_id").alias("rep"), "sig").agg(F.first("bits").alias("packed"))
     inside = inside.join(bits, ["rep", "sig"]).withColumnRenamed("node", "id")
     near = components(_met(inside, _bounder(per), "a long, b long"))
 
     inside = _sized(places.join(near.withColumnRenamed("label", "cluster"), "node"))
     inside = inside.groupBy(F.col("sig").alias("id"), F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "blocks", "top", "n_shingles")).alias("places"))
-    packed = inside.join(named, "doc_id").select("id", "places", "text").mapInArrow(_packer(k), f"id binary, places {inside.schema['places'].dataType.simpleString()}, packed binary")
+    # Repeated rows are packed once.
+    packed = inside.join(named, "doc_id").groupBy("doc_id", "id").agg(F.first("places").alias("places"), F.first("text").alias("text"))
+    packed = packed.select("id", "places", "text").mapInArrow(_packer(k), f"id binary, places {inside.schema['places'].dataType.simpleString()}, packed binary")
     links = settle(_met(packed.select("id", F.inline("places"), "packed"), _linker(per), "a binary, b binary, links long"))
 
     joined = components(links)
@@ -398,13 +400,19 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
-    """``docs`` with one row of each component of ``jaccard_links``: that of the least doc_id.
+    """``docs`` with one row of each component of linked texts: that of the least doc_id.
 
-    Rows without words or without doc_id are in no component and stay.
+    Rows are told apart by a digest of doc_id and text, so that rows without doc_id take part; they come first in
+    the order, as in the other stages. Of repeated rows (equal doc_id and text) one stays. Rows without words are in no component and stay.
     """
-    found = jaccard_links(docs, k, per).where("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_dropped"], "left_anti")
-    return kept
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_links(keyed.select(F.col("_key").alias("doc_id"), "text"), k, per).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("label")).distinct()
+    places = keyed.groupBy("_key").agg(F.first("doc_id").alias("id")).join(found, "_key")
+    first = settle(places.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "_key")).alias("first")).select(F.col("first._key").alias("_first")))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(worded).join(first, F.col("_key") == F.col("_first"), "left_semi").dropDuplicates(["_key"])
+    return kept.unionByName(keyed.where(~worded)).select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
