@@ -199,16 +199,18 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined; rows without doc_id stay.
+    """``docs`` without the rows whose language is undetermined, those without doc_id too.
 
-    The model is fitted on the rows' own lang labels (see ``fit_languages``); sources stand for hosts. A text
+    Rows are told apart by a digest of all that is judged, the text and the source. The model is fitted on the rows' own lang labels (see ``fit_languages``); sources stand for hosts. A text
     without letters is undetermined. Without labelled rows nothing can be judged, and all rows stay.
     """
     model = fit_languages(docs)
     if not model["languages"]:
         return docs
-    lost = identify(_documents(docs), model, ["doc_id"]).where("lang is null and doc_id is not null").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    key = F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+    rows = _documents(docs.select(key.alias("doc_id"), "text", "source"))
+    lost = identify(rows, model, ["doc_id"]).where("lang is null").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, key == lost["_lost"], "left_anti")
 
 
 def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
