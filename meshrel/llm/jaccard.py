@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import components, partitions, runs, settle, table
+from .frames import SALTS, components, joined_back, partitions, runs, settle, table
 from .textkernel import distinct_sorted, mix, shingle_hashes, span_hashes, texts_of, word_spans
 
+#: A block of a cluster has about so many sets at most, and so many bytes of them.
 BLOCK = 384
-CELLS = 6_000_000
+BLOCK_BYTES = 4_000_000
+CELLS = 3_000_000
 #: A node is the short signature of a set, with a multiple of this for its class.
 NODE = 0x9E3779B97F4A7
 _SHIFT = np.uint64(32)
@@ -275,9 +277,9 @@ def _meetings(batches: Iterator[pa.RecordBatch], per: int, exact: bool) -> Itera
 def _bounder(per: int):
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, others, near, same in _meetings(batches, per, False):
-            edges = _forest(near, same)
+            edges = _trees(near, ids, others, same)
             if edges:
-                yield pa.record_batch([pa.array([ids[i] for i, _ in edges], pa.int64()), pa.array([others[j] for _, j in edges], pa.int64())], names=["a", "b"])
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
     return bound
 
@@ -294,10 +296,10 @@ def _linker(per: int):
                     held["b"].append(theirs[order[int(hits[i].argmax())]])
                     held["links"].append(int(hits[i].sum()))
             if not same or len(sigs) > 2:
-                # The least partner of each row may leave parts of one component apart; a forest joins them.
-                for i, j in _forest(linked, same):
-                    held["a"].append(sigs[i])
-                    held["b"].append(others[j])
+                # The least partner of each row may leave parts of one component apart; stars join them.
+                for a, b in _trees(linked, sigs, others, same):
+                    held["a"].append(a)
+                    held["b"].append(b)
                     held["links"].append(0)
             if len(held["a"]) > 20_000:
                 yield pa.record_batch([pa.array(held["a"], pa.binary()), pa.array(held["b"], pa.binary()), pa.array(held["links"], pa.int64())], names=list(held))
@@ -307,8 +309,8 @@ def _linker(per: int):
     return link
 
 
-def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Edges (row, column) of a spanning forest of the links."""
+def _trees(linked: np.ndarray, ids: list, others: list, same: bool) -> list[tuple]:
+    """(least id, id) for the other ids of each connected part of the links, so that every part is one star."""
     n, m = linked.shape
     new_row, new_col = np.ones(n, bool), np.ones(m, bool)
     out = []
@@ -318,23 +320,23 @@ def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
         new_row[root] = False
         if same:
             new_col[root] = False
-        todo = [(root, True)]
+        part, todo = {ids[root]}, [(root, True)]
         while todo:
             at, is_row = todo.pop()
+            fresh = np.flatnonzero(linked[at] & new_col if is_row else linked[:, at] & new_row).tolist()
             if is_row:
-                for j in np.flatnonzero(linked[at] & new_col).tolist():
-                    new_col[j] = False
-                    out.append((at, j))
-                    if same:
-                        new_row[j] = False
-                        todo.append((j, True))
-                    else:
-                        todo.append((j, False))
+                new_col[fresh] = False
+                part.update(others[j] for j in fresh)
+                if same:
+                    new_row[fresh] = False
+                todo += [(j, same) for j in fresh]
             else:
-                for i in np.flatnonzero(linked[:, at] & new_row).tolist():
-                    new_row[i] = False
-                    out.append((i, at))
-                    todo.append((i, True))
+                new_row[fresh] = False
+                part.update(ids[i] for i in fresh)
+                todo += [(i, True) for i in fresh]
+        if len(part) > 1:
+            least = min(part)
+            out += [(least, x) for x in part if x != least]
     return out
 
 
@@ -346,9 +348,16 @@ def _met(sets: DataFrame, kernel, schema: str) -> DataFrame:
     return placed.repartition(partitions(sets.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(kernel, schema)
 
 
-def _sized(inside: DataFrame) -> DataFrame:
-    """``inside`` with the number of blocks of its row's cluster."""
-    return inside.join(inside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster")
+def _sized(inside: DataFrame, row: str, size) -> DataFrame:
+    """``inside`` with the number of blocks of its row's cluster; ``size``: the bytes of a row's packed set.
+
+    Most clusters are one block; the others' numbers are copied over salts, so that no task gathers a large cluster.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_BYTES)).cast("int")
+    many = inside.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1")
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = inside.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    return salted.join(many, ["cluster", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("salt")
 
 
 def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
@@ -373,17 +382,18 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     stars = keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
 
     rows = signed.where("sig is not null and doc_id is not null")
-    classes = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"))
+    classes = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"), F.count("*").alias("n"))
     short = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     places = classes.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    places = places.select("sig", "rep", "n_shingles", short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).alias("node"), (F.col("up") == 0).alias("top"))
+    places = places.select("sig", "rep", "n_shingles", "own", short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).alias("node"), (F.col("up") == 0).alias("top"))
 
-    inside = _sized(places.join(components(stars).withColumnRenamed("label", "cluster"), "node"))
+    bytes_of_bits = F.pow(F.lit(100 / per), F.col("own")) / 2
+    inside = _sized(places.join(components(stars).withColumnRenamed("label", "cluster"), "node"), "node", bytes_of_bits)
     bits = rows.groupBy(F.col("doc_id").alias("rep"), "sig").agg(F.first("bits").alias("packed"))
     inside = inside.join(bits, ["rep", "sig"]).withColumnRenamed("node", "id")
     near = components(_met(inside, _bounder(per), "a long, b long"))
 
-    inside = _sized(places.join(near.withColumnRenamed("label", "cluster"), "node"))
+    inside = _sized(places.join(near.withColumnRenamed("label", "cluster"), "node"), "node", F.col("n_shingles") * 8)
     inside = inside.groupBy(F.col("sig").alias("id"), F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "blocks", "top", "n_shingles")).alias("places"))
     # Repeated rows are packed once.
     packed = inside.join(named, "doc_id").groupBy("doc_id", "id").agg(F.first("places").alias("places"), F.first("text").alias("text"))
@@ -392,11 +402,11 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
 
     joined = components(links)
     counted = links.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("n_links"))
-    classes = classes.select("sig", "rep").join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "label").join(counted, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = settle(classes.select("sig", "rep", F.col("n").alias("n_rows")).join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    least = settle(classes.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    classes = joined_back(classes, least, ["label"], ["sig"]).join(counted, "sig", "left").select("sig", F.col("n_rows").alias("n"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = signed.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.select("doc_id", "n_shingles", "sig").join(classes, "sig").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
+    return joined_back(rows.select("doc_id", "n_shingles", "sig"), settle(classes), ["sig"], ["doc_id"]).select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
@@ -416,6 +426,7 @@ def keep_one(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked at 85 of 100 of their 4-word shingles."""
     return jaccard_links(table(spark, sf_dir, "documents"), k=4, per=85).select("doc_id", "n_shingles", "component_id")
 
 

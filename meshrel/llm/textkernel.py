@@ -7,11 +7,13 @@ row offsets. Slices are bounded in bytes, so memory does not follow the Arrow ba
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+LONGEST = 64
 
 _rng = np.random.default_rng(20240611)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,10 +88,21 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the given disjoint non-empty ascending byte spans."""
+    """A 64-bit hash of each of the given disjoint non-empty ascending byte spans.
+
+    Polynomials modulo a power of two collide on long structured texts, so spans over ``LONGEST`` bytes are hashed by BLAKE2b.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
+    long = np.flatnonzero(size > LONGEST)
+    if len(long):
+        out = np.empty(len(size), np.uint64)
+        raw = [blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.frombuffer(b"".join(raw), np.uint64)
+        plain = np.flatnonzero(size <= LONGEST)
+        out[plain] = span_hashes(data, starts[plain], ends[plain])
+        return out
     total = int(size.sum())
     first = np.zeros(len(size), np.int64)
     np.cumsum(size[:-1], out=first[1:])
