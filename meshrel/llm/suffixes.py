@@ -20,20 +20,21 @@ to one anchor, and an anchor owns a run of window starts; its *context* is the b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .frames import partitions, runs, settle, table
+from .frames import HOT_PARTS, SALTS, joined_back, partitions, runs, settle, table
 from .textkernel import BASE_INVERSE, BYTE_VALUES, mix, powers, text_slices
 
 LENGTH = 400
 LEAD = 24
 CROWD = 2_000
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -81,8 +82,9 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     last = np.concatenate((new[1:], [len(owner)])) - 1
     anchor = owner[new]
-    size = (last + length - new).astype(np.uint64)
-    context = mix(_window(prefix, new, last + length) + size * _SECOND + mix((anchor - new).astype(np.uint64)))
+    raw = memoryview(data.tobytes())
+    digests = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(new.tolist(), (last + length).tolist())])
+    context = mix(np.frombuffer(digests, np.uint64) + mix((anchor - new).astype(np.uint64)))
     return new, last, anchor, grams[anchor], context
 
 
@@ -282,16 +284,16 @@ def _bucket_sorter(length: int, crowd: int):
 
 
 def _window_digester(length: int):
-    """(a, b, t1, t2, lo): two digests of every window of the given contexts."""
+    """(a, b, t1, t2, lo): a digest of 128 bits of every window of the given contexts."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
             for left, right, low, high, t1, t2, anchor in zip(c["left"], c["right"], c["low"], c["high"], c["t1"], c["t2"], c["anchor"]):
-                data = np.frombuffer(left + right, np.uint8)
+                raw = memoryview(left + right)
                 at = np.arange(high - low + 1)
-                pair = [_window(_prefix(data ^ np.uint8(salt)), at, at + length).view(np.int64) for salt in (0, 0x5A)]
-                yield pa.record_batch([*pair, np.full(len(at), t1), np.full(len(at), t2), (at + anchor - high).astype(np.int32)], names=["a", "b", "t1", "t2", "lo"])
+                pair = np.frombuffer(b"".join([blake2b(raw[i : i + length], digest_size=16).digest() for i in at.tolist()]), np.int64).reshape(-1, 2)
+                yield pa.record_batch([pair[:, 0].copy(), pair[:, 1].copy(), np.full(len(at), t1), np.full(len(at), t2), (at + anchor - high).astype(np.int32)], names=["a", "b", "t1", "t2", "lo"])
 
     return digest
 
@@ -310,9 +312,30 @@ def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("t1"), batch.column("t2"), pa.array(out, kind)], names=["t1", "t2", "spans"])
 
 
-def _identified(docs: DataFrame, text: str) -> DataFrame:
-    column = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn("_text", column).withColumn("_t1", F.xxhash64("_text")).withColumn("_t2", F.xxhash64(F.lit(7), "_text"))
+def _text(docs: DataFrame, name: str):
+    return F.coalesce(docs[name].cast("string"), F.lit(""))
+
+
+def _digests(text) -> list:
+    """t1 and t2: a digest of 128 bits."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row: all columns of ``docs``, text: its text, null as empty, spans: those of its text or null).
+
+    The columns stay in one struct, so that their names meet no other. A hot text's spans are joined salted.
+    """
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), _text(docs, "text").alias("text"))
+    rows = rows.select("row", "text", *_digests(F.col("text")))
+    counted = rows.groupBy("t1", "t2").agg(F.count("*").alias("n"))
+    counted = settle(counted.join(spans, ["t1", "t2"]))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_PARTS > F.lit(total)
+    marked = rows.join(F.broadcast(counted.where(hot).select("t1", "t2", F.lit(True).alias("hot"))), ["t1", "t2"], "left")
+    marked = marked.withColumn("salt", F.when(F.col("hot"), F.floor(F.rand(1) * SALTS).cast("int")).otherwise(0)).drop("hot")
+    copied = counted.select("t1", "t2", "spans", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return marked.join(copied, ["t1", "t2", "salt"], "left").select("row", "text", "spans")
 
 
 def spans_by_text(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -322,24 +345,29 @@ def spans_by_text(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     a text that occurs twice as a whole is one span. Texts without such spans are left out.
     """
     n = partitions(docs.sparkSession)
-    texts = _identified(docs, "text").where(F.octet_length("_text") >= length)
-    texts = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row"), _text(docs, "text").alias("text")).where(F.octet_length("text") >= length)
+    texts = texts.select("row", *_digests(F.col("text")), "text")
     whole = settle(texts.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max(F.octet_length("text")).alias("size")))
     copied = whole.where("copies > 1").select("t1", "t2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
+    # Of a text with very many copies, one row gives the anchors; fewer than a thousand texts have so many.
+    rows = whole.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(whole.where(F.col("copies") * HOT_PARTS > F.lit(rows)).select("t1", "t2", F.col("row").alias("only")))
+    single = texts.join(hot, ["t1", "t2"], "left").where("only is null or row = only")
 
-    found = texts.select("t1", "t2", "text").mapInArrow(_anchorer(length), "t1 long, t2 long, gram long, context long, place long")
+    found = single.select("t1", "t2", "text").mapInArrow(_anchorer(length), "t1 long, t2 long, gram long, context long, place long")
     found = found.withColumn("spot", F.xxhash64("t1", "t2", "place"))
-    grams = found.groupBy("gram").agg(F.min("spot").alias("s0"), F.max("spot").alias("s1"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-    grams = grams.where("s0 <> s1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"))
-    again = settle(found.join(grams, "gram"))
-    contexts = again.groupBy("gram", "context").agg(F.min("spot").alias("s0"), F.max("spot").alias("s1"), F.max("mixed").alias("mixed"))
-    contexts = settle(contexts)
+    ends = [F.min("spot").alias("s0"), F.max("spot").alias("s1"), F.count("*").alias("n")]
+    grams = found.groupBy("gram").agg(*ends, F.min("context").alias("c0"), F.max("context").alias("c1"))
+    grams = settle(grams.where("s0 <> s1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"), "n"))
+    again = settle(joined_back(found, grams, ["gram"], ["spot"]))
+    contexts = settle(again.groupBy("gram", "context").agg(*ends, F.max("mixed").alias("mixed")))
     first = F.shiftright("place", 32).cast("int")
     last = first + F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    sure = again.join(contexts.where("s0 <> s1").select("gram", "context"), ["gram", "context"]).select("t1", "t2", first.alias("lo"), (last + length).alias("hi"))
+    sure = joined_back(again, contexts.where("s0 <> s1").select("gram", "context", "n"), ["gram", "context"], ["spot"]).select("t1", "t2", first.alias("lo"), (last + length).alias("hi"))
 
-    sized = contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("n_contexts"), F.min(F.col("s0") != F.col("s1")).alias("settled")).where("not settled")
-    edges = contexts.where("mixed").join(sized, "gram").select("gram", "context", F.col("s0").alias("spot"), (F.col("n_contexts") > crowd).alias("crowd"))
+    mixed = contexts.where("mixed").select("gram", "context", F.col("s0").alias("spot"), (F.col("s0") != F.col("s1")).alias("settled"))
+    sized = settle(mixed.groupBy("gram").agg(F.count("*").alias("n"), F.min("settled").alias("settled")).where("not settled").select("gram", "n", (F.col("n") > crowd).alias("crowd")))
+    edges = joined_back(mixed.drop("settled"), sized, ["gram"], ["context"]).select("gram", "context", "spot", "crowd")
     edges = again.join(edges, ["gram", "context", "spot"]).select("t1", "t2", "gram", "place", "crowd").distinct()
     wanted = edges.groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "gram", "crowd")).alias("wanted"))
     wanted = wanted.join(whole.select("t1", "t2", "row"), ["t1", "t2"])
@@ -364,11 +392,9 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, crowd: int = CROW
     marked, the first too. Rows that occur twice repeat each other as whole texts do. Rows without doc_id
     take part. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    spans = spans_by_text(docs.select("doc_id", "text"), length, crowd)
-    rows = _identified(docs.select("doc_id", "text"), "text")
-    joined = rows.join(spans, (rows["_t1"] == spans["t1"]) & (rows["_t2"] == spans["t2"]), "left")
+    docs = docs.select("doc_id", "text")
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    return joined.select("doc_id", F.col("_text").alias("text"), F.coalesce("spans", none).alias("spans"))
+    return _with_spans(docs, spans_by_text(docs, length, crowd)).select("row.doc_id", "text", F.coalesce("spans", none).alias("spans"))
 
 
 def kept_bytes(text, spans):
@@ -380,11 +406,12 @@ def kept_bytes(text, spans):
     return F.when(F.size(spans) == 0, raw).otherwise(F.aggregate(gaps, F.lit(b""), lambda x, y: F.concat(x, y)))
 
 
-def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the whole characters inside their spans."""
+@F.pandas_udf(StringType())
+def kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the whole characters inside their spans; null spans are none."""
     out = []
     for t, found in zip(text, spans):
-        if not len(found):
+        if found is None or not len(found):
             out.append(t)
             continue
         raw = t.encode()
@@ -407,17 +434,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Every occurrence goes, and of a character that a span cuts nothing. n_chars, if it is a column, follows the
     text. Rows that lose all but spaces go; rows that were empty before, null ones too, stay as they are.
     """
-    spans = spans_by_text(docs.select("doc_id", "text"), length).select(F.col("t1").alias("_s1"), F.col("t2").alias("_s2"), F.col("spans").alias("_spans"))
-    rows = _identified(docs, "text")
-    joined = rows.join(spans, (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2")), "left").drop("_t1", "_t2", "_s1", "_s2")
-    whole = joined.where("_spans is null").select(*docs.columns)
-    part = joined.where("_spans is not null").withColumn("text", F.pandas_udf(_cut_text, "string")("_text", "_spans")).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
+    joined = _with_spans(docs, spans_by_text(docs.select("doc_id", "text"), length))
+    cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), kept_text(F.col("text"), F.col("spans"))))
+    cut = cut.where(r"cut is null or cut rlike '[^\\x20\\x09-\\x0D]'")
+    new = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+        new["n_chars"] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: what strings of 400 bytes that occur elsewhere cover, the digest of the other bytes, and those as text."""
     rows = repeated_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["hi"] - s["lo"])
     return rows.select(
@@ -426,6 +453,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"),
+        F.when(F.size("spans") == 0, F.col("text")).otherwise(kept_text(F.col("text"), F.col("spans"))).alias("text"),
     )
 
 
