@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import HOT_PARTS, settle, table
 from .textkernel import LOWER, SPACE, mix, text_slices
 from .urls import host_of, path_of
 
 GRAM = 3
 BITS = 15
-TRAIN_ROWS = 8_000
+#: About so many rows of each language fit the text model.
+TRAIN_ROWS = 2_000
 DECLARED_TRUST = 0.9
 SUFFIX_TRUST = 0.8
 HOST_STRENGTH = 20.0
@@ -51,11 +52,12 @@ def _grams(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np
 def _gram_counter(languages: list[str], bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), 1 << bits), np.int64)
+        at = {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            label = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
+            label = np.array([at[x] for x in batch.column("lang").to_pylist()], np.int64)
             for lo, hi, data, off in text_slices(batch.column("text")):
-                bucket, at = _grams(data, off, bits)
-                own = np.repeat(label[lo:hi], np.diff(at))
+                bucket, ends = _grams(data, off, bits)
+                own = np.repeat(label[lo:hi], np.diff(ends))
                 sums += np.bincount(own * (1 << bits) + bucket, minlength=sums.size).reshape(sums.shape)
         which, used = np.nonzero(sums)
         yield pa.record_batch([pa.array(which), pa.array(used), pa.array(sums[which, used])], names=["label", "bucket", "n"])
@@ -66,15 +68,18 @@ def _gram_counter(languages: list[str], bits: int):
 def fit_languages(labelled: DataFrame, bits: int = BITS, most_rows: int = TRAIN_ROWS) -> dict:
     """A trigram model of each language from (doc_id, text, lang) rows.
 
-    It is fitted on the ``most_rows`` rows at most that come first by a hash of doc_id, whole texts. Rows
-    without lang or text are ignored. Without any labelled row the model knows no language.
+    The languages are those of all labelled rows, by a grouped count. Of each, about ``most_rows`` rows are used,
+    whole texts: all of a rarer one, else those whose hash of doc_id and text is below the share that is wanted.
+    Counts are summed where the rows are. Rows without lang or text are ignored. Without any labelled row the
+    model knows no language.
     """
-    rows = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    kept = rows.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h").limit(most_rows).select("doc_id").distinct()
-    rows = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("text", "lang")
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    rows = labelled.where("lang is not null and text is not null").select(F.xxhash64(F.lit(3), F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in labelled.where("lang is not null and text is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
+    languages = sorted(sizes)
     counts = np.full((len(languages), 1 << bits), 0.5)
     if languages:
+        share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, most_rows / sizes[lang]))])
+        rows = rows.where(F.pmod("h", F.lit(2**32)) < share[F.col("lang")] * 2**32).select("text", "lang")
         got = rows.mapInArrow(_gram_counter(languages, bits), "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
         np.add.at(counts, (got.column("label").to_numpy(), got.column("bucket").to_numpy()), got.column("n").to_numpy())
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts
@@ -126,14 +131,28 @@ def _posterior(logs):
     return F.transform(shares, lambda x: x / total)
 
 
+def _host_sums(scored: DataFrame, sums: DataFrame) -> DataFrame:
+    """``scored`` with the sums of its host; hosts with more than a thousandth of all rows, under a thousand, are broadcast."""
+    total = sums.agg(F.sum("rows")).first()[0] or 0
+    hot = sums.where(F.col("rows") * HOT_PARTS > F.lit(total)).select("h", F.col("of_host").alias("hot_host"), F.col("of_domain").alias("hot_domain"))
+    marked = scored.join(F.broadcast(hot), scored["host"] == hot["h"], "left").drop("h")
+    # Rows of hot hosts and rows without one meet nothing in the shuffle.
+    marked = marked.withColumn("key", F.when(F.col("hot_host").isNull(), F.col("host")))
+    alone = marked.where("key is null").select("*", F.col("hot_host").alias("of_host"), F.col("hot_domain").alias("of_domain"))
+    rest = marked.where("key is not null")
+    rest = rest.join(sums.drop("rows"), rest["key"] == sums["h"]).drop("h")
+    return alone.unionByName(rest).drop("hot_host", "hot_domain", "key")
+
+
 def identify(rows: DataFrame, model: dict, key: list[str], least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
     """The language of each row from (key..., text, declared, url, host), fused by Bayes' rule.
 
     Evidence: the text's trigram likelihoods; the language that the markup declares; the country suffix of the
     url's host or a language segment that begins its path; and the host's prior. That prior is smoothed in two
-    steps, from grouped sums of the posteriors of the other evidence: the languages of all rows, then those
+    steps, from grouped sums of what the other rows' other evidence says: the languages of all rows, then those
     of the registered domain (the last two labels), then those of the host, each as heavy as
-    ``HOST_STRENGTH`` rows. One hot host is one row of sums; it is combined before the shuffle.
+    ``HOST_STRENGTH`` rows; a row's own part is taken from every sum. One hot host is one row of sums; it is
+    combined before the shuffle. The text's evidence counts ``MOST_NATS`` at most: a longer text is no surer.
 
     Returns key..., lang (null if undetermined), posterior, letters. A row is undetermined if it has no
     letters and no other evidence, or if its best posterior is under ``least_posterior``. Null text, url,
@@ -157,26 +176,28 @@ def identify(rows: DataFrame, model: dict, key: list[str], least_posterior: floa
     has_other = declared.isin(languages) | F.coalesce(address.isin(languages), F.lit(False))
     scored = scored.withColumn("known", (F.col("letters") > 0) | has_other).withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)).drop("url", "declared", "text_logs")
 
-    own = _posterior(F.col("own_logs"))
-    sums = [F.sum(F.when(F.col("known"), own[i])).alias(f"s{i}") for i in range(len(languages))]
-    by_host = scored.groupBy("domain", "host").agg(*sums)
-    count = range(len(languages))
-    by_domain = by_host.groupBy(F.col("domain").alias("d")).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"d{i}") for i in count])
-    overall = by_domain.agg(*[F.sum(f"d{i}").alias("g%d" % i) for i in count]).first()
-    total = sum((overall[i] or 0.0) for i in count) + len(languages)
-    base = [((overall[i] or 0.0) + 1) / total for i in count]
-
-    def smooth(own_sums, below):
-        whole = sum((c for c in own_sums[1:]), own_sums[0])
-        return [(c + HOST_STRENGTH * b) / (whole + HOST_STRENGTH) for c, b in zip(own_sums, below)]
+    # Each text is scored once; what goes on is a few dozen bytes a row.
+    own = F.when(F.col("known"), _posterior(F.col("own_logs"))).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+    scored = settle(scored.withColumn("own", own))
 
-    domain_prior = smooth([F.col(f"d{i}") for i in count], [F.lit(b) for b in base])
-    by_domain = by_domain.select("d", *[p.alias(f"p{i}") for i, p in enumerate(domain_prior)])
+    count = range(len(languages))
+    by_host = settle(scored.groupBy("domain", "host").agg(*[F.sum(F.col("own")[i]).alias(f"s{i}") for i in count], F.count("*").alias("rows")))
+    by_domain = by_host.groupBy(F.col("domain").alias("d")).agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in count])
+    overall = [x or 0.0 for x in by_host.agg(*[F.sum(f"s{i}") for i in count]).first()]
     joined = by_host.where("host is not null").join(by_domain, F.col("domain") == F.col("d"))
-    host_prior = smooth([F.coalesce(f"s{i}", F.lit(0.0)) for i in count], [F.col(f"p{i}") for i in count])
-    priors = joined.select(F.col("host").alias("h"), F.array(*[F.log(p) for p in host_prior]).alias("prior"))
-    fallback = F.array(*[F.lit(math.log(b)) for b in base])
-    fused = scored.join(priors, scored["host"] == priors["h"], "left").withColumn("logs", _sum(F.col("own_logs"), F.coalesce("prior", fallback)))
+    sums = joined.select(F.col("host").alias("h"), "rows", F.array(*[f"s{i}" for i in count]).alias("of_host"), F.array(*[f"d{i}" for i in count]).alias("of_domain"))
+
+    def smooth(sums_, below, strength):
+        """Shares of the sums of the other rows, with ``strength`` rows of the prior below."""
+        rest = F.zip_with(sums_, F.col("own"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        whole = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b) + strength
+        return F.zip_with(rest, below, lambda c, b: (c + strength * b) / whole)
+
+    even = F.array(*[F.lit(1 / len(languages)) for _ in count])
+    base = smooth(F.array(*[F.lit(x) for x in overall]), even, float(len(languages)))
+    known_host = _host_sums(scored, sums).withColumn("base", base)
+    prior = F.when(F.col("of_host").isNull(), F.col("base")).otherwise(smooth(F.col("of_host"), smooth(F.col("of_domain"), F.col("base"), HOST_STRENGTH), HOST_STRENGTH))
+    fused = known_host.withColumn("logs", _sum(F.col("own_logs"), F.transform(prior, lambda p: F.log(p))))
     fused = fused.withColumn("post", _posterior(F.col("logs"))).withColumn("posterior", F.array_max("post"))
     names = F.array(*[F.lit(x) for x in languages])
     best = F.element_at(names, F.array_position("post", F.col("posterior")).cast("int"))
