@@ -23,12 +23,18 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.zeros(batch.num_rows, np.int64)
         for lo, hi, data, off in text_slices(batch.column("text")):
             size[lo:hi] = np.diff(word_spans(data, off)[2])
-        yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(size)], names=["doc_id", "source", "size"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.record_batch([*(batch.column(n) for n in kept), pa.array(size)], names=[*kept, "size"])
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): the number of runs of characters other than space and tab to carriage return."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
+    return _sized(docs)
+
+
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    names = "".join(f"`{m}` string, " for m in more)
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), *more, F.col("text").cast("string")).mapInArrow(_sizes, f"doc_id long, source string, {names}size long")
 
 
 def source_targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -56,21 +62,31 @@ def source_targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFram
     )
 
 
+def _cut(cells: DataFrame, parts: DataFrame, start) -> DataFrame:
+    """(source, part, place, before): the first place of each source at which the sum of its cells, from ``start``, reaches its part, and the sum before it."""
+    until = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    filled = cells.withColumn("until", F.sum("cell").over(until)).withColumnRenamed("source", "cell_source")
+    found = filled.join(parts, filled["cell_source"].eqNullSafe(parts["source"])).withColumn("until", F.col("until") + start)
+    found = found.where((F.col("part") > 0) & (F.col("until") >= F.col("part")))
+    found = found.groupBy("source", "part").agg(F.min(F.struct("place", (F.col("until") - F.col("cell")).alias("before"))).alias("cut"))
+    return found.select("source", "part", "cut.place", "cut.before")
+
+
 def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Mixes documents so that each source takes its target number of words.
 
     Returns (doc_id, source, size, source_size, target, copies, taken), one row per input row. A source's
     whole repetitions give every document as many copies; the fractional one takes documents in order of
     a seeded digest of doc_id until the source's remaining words are met, the last one if that comes nearer.
-    The order is settled by sums over 65,536 digest buckets per source; only the one bucket that the
-    fraction cuts is sorted, so a source with most of the rows needs no task of its own.
+    The order is settled by sums over 65,536 digest buckets per source, in two levels of 256; only the one bucket
+    that the fraction cuts is sorted, so a source with most of the rows needs no task of its own.
 
     Null or empty texts have size 0 and take 0 words. A null source is a source, last in the order of
-    weights. Null doc_ids share one digest. Repeated rows are documents of their own. An empty table gives
+    weights. Rows without doc_id are dealt by a digest of their text. Repeated rows are documents of their own. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = settle(word_sizes(docs).withColumn("digest", digest).withColumn("bucket", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")))
+    docs = docs.select("doc_id", "source", "text", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("name"))
+    sized = settle(_sized(docs, "name").withColumn("digest", F.md5(F.concat(F.lit(f"{seed}:"), "name"))).drop("name").withColumn("bucket", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")))
     cells = settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell")))
     sources = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
     in_order = W.orderBy(F.col("source").asc_nulls_last())
@@ -78,17 +94,13 @@ def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     sources = settle(sources.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")))
 
-    until = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    filled = cells.withColumn("until", F.sum("cell").over(until))
-    same = filled["source"].eqNullSafe(sources["source"])
-    cut = (
-        filled.join(sources, same)
-        .where((F.col("part") > 0) & (F.col("until") >= F.col("part")))
-        .groupBy(filled["source"])
-        .agg(F.min(F.struct("bucket", (F.col("until") - F.col("cell")).alias("before"))).alias("cut"))
-    )
-    plan = sources.join(cut, sources["source"].eqNullSafe(cut["source"]), "left").select(sources["source"].alias("plan_source"), "source_size", "target", "whole", "part", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("cut_before"))
-    plan = settle(plan)
+    # Two levels, of 256 coarse and 256 fine buckets: no window has more rows than that for a source.
+    coarse = cells.groupBy("source", (F.col("bucket") / 256).cast("int").alias("place")).agg(F.sum("cell").alias("cell"))
+    high = _cut(coarse, sources.select("source", "part"), F.lit(0))
+    fine = cells.withColumn("place", F.col("bucket"))
+    fine = fine.join(high.select(F.col("source").alias("s"), "part", F.col("place").alias("high"), "before"), fine["source"].eqNullSafe(F.col("s")) & ((F.col("bucket") / 256).cast("int") == F.col("high")))
+    cut = _cut(fine.select("source", "place", "cell"), high.select("source", "part", "before"), F.col("before")).select(F.col("source").alias("plan_source"), F.col("place").alias("cut_bucket"), F.col("before").alias("cut_before"))
+    plan = settle(sources.join(cut, sources["source"].eqNullSafe(cut["plan_source"]), "left").select(sources["source"].alias("plan_source"), "source_size", "target", "whole", "part", "cut_bucket", "cut_before"))
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"]))
     outside = rows.where("not (bucket <=> cut_bucket)").withColumn("extra", F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
     inside = rows.where("bucket <=> cut_bucket")
@@ -99,6 +111,7 @@ def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what the mix takes of each."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
@@ -107,7 +120,7 @@ SQL = {
     WITH sized AS (
       SELECT doc_id, source,
              CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-             md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+             md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))) AS digest
       FROM documents),
     weighed AS (
       SELECT source, sum(size)::BIGINT AS source_size,
