@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import chunks, decontamination, fingerprints, jaccard, languages, licenses, mixing, quality, suffixes, urls
 
-MODULES = ["mixing", "urls", "fingerprints", "jaccard", "suffixes", "decontamination", "chunks", "quality", "languages", "licenses"]
+MODULES = [mixing, urls, fingerprints, jaccard, suffixes, decontamination, chunks, quality, languages, licenses]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in import_module(f"{__package__}.{m}").QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in getattr(import_module(f"{__package__}.{m}"), "SQL", {}).items()}
+    return {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
