@@ -6,13 +6,11 @@ as the next stage's ``docs``. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshrel.llm.decontamination import decontaminate
-from meshrel.llm.frames import table
+from meshrel.llm.frames import shared_folder, table
 from meshrel.llm.jaccard import keep_one
 from meshrel.llm.languages import keep_identified
 from meshrel.llm.mixing import mix_sources
@@ -60,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written in the shared checkpoint folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     run_id = spark.range(1).select(F.expr("uuid()").alias("u")).first()["u"]
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
