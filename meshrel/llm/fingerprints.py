@@ -59,14 +59,14 @@ class _Variates:
 
 
 def signatures(column: pa.Array, variates: _Variates) -> np.ndarray:
-    """(rows, samples) of 32-bit samples; texts without words give zeros.
+    """(rows, samples) of 16-bit samples; texts without words give zeros.
 
     For each sample and each word of weight S (its count), with r and c from Gamma(2, 1) and beta uniform:
     t = floor(ln S / r + beta), ln y = r * (t - beta), ln a = ln c - ln y - r. The word of the least a and
     its t are the sample; two texts have the same with probability sum min / sum max of their weights.
     """
     k = variates.samples
-    out = np.zeros((len(column), k), np.uint32)
+    out = np.zeros((len(column), k), np.uint16)
     for lo, hi, data, off in text_slices(column):
         starts, ends, word_off = word_spans(data, off)
         if not len(starts):
@@ -92,7 +92,7 @@ def signatures(column: pa.Array, variates: _Variates) -> np.ndarray:
             # The samples of rows, from the few places of the least; of equal ones the greatest.
             value = mix(terms[at[a:b][pair]] + t[pair, sample].astype(np.int64).astype(np.uint64) * _STEP)
             owner = lo + row[a:b][pair]
-            np.maximum.at(out, (owner, sample), (value >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
+            np.maximum.at(out, (owner, sample), (value >> np.uint64(48)).astype(np.uint16))
             i = j
     return out
 
@@ -102,8 +102,7 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hex(samples: np.ndarray) -> list[str]:
-    short = np.ascontiguousarray((samples & np.uint32(0xFFFF)).astype(">u2"))
-    return [row.tobytes().hex() for row in short]
+    return [row.tobytes().hex() for row in samples.astype(">u2")]
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -173,7 +172,7 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited form replaces the last floor(n / 4) code points by the first as many of the next document,
     or all of it; the first document follows the last. Documents are dealt into ranges of doc_id at
     approximate quantiles; the first document of a range also goes to the range before it, so each range is
-    settled by one pass over its sorted rows and no window spans the table.
+    settled by one pass over its sorted rows, as a task of its own, and no window spans the table.
 
     Null texts are empty. Rows without doc_id come first in the order. Repeated doc_ids are ordered by
     text, each row following the one before it. A table of one row is its own next. An empty table gives an
@@ -199,10 +198,11 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     tails = docs.withColumn("place", place).join(F.broadcast(before), "place").select("bucket", F.lit(1).alias("role"), "doc_id", "text")
     rows = placed.select("bucket", F.lit(0).alias("role"), "doc_id", "text").unionByName(tails)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "role", "doc_id", "text").mapInArrow(_comparer(samples), schema)
+    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "role", "doc_id", "text").mapInArrow(_comparer(samples), schema)
 
 
 def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against their edited texts and the next documents."""
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
