@@ -12,7 +12,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 LONGEST = 64
 
 _rng = np.random.default_rng(20240611)
