@@ -185,14 +185,14 @@ def notices(docs: DataFrame, model: dict | None = None) -> DataFrame:
     model = model or fit(sample_lines(docs))
     classes = model["classes"]
     pattern = r"(?i)(?<![a-z0-9.])\.*(?:" + "|".join(map(re.escape, telling_words(model))) + r")\.*(?![a-z0-9.])"
-    rows = docs.select(*row_keys(docs), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(pattern))
-    units = F.transform(F.split("text", "\n"), lambda line, i: F.when(line.rlike(pattern), F.struct(i.alias("first_line"), F.slice(F.split("text", "\n"), i + 1, max(SPANS)).alias("lines"))))
+    rows = docs.select(*row_keys(docs), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(pattern)).select("k1", "k2", F.split("text", "\n").alias("all"))
+    units = F.transform("all", lambda line, i: F.when(line.rlike(pattern), F.struct(i.alias("first_line"), F.slice(F.col("all"), i + 1, max(SPANS)).alias("lines"))))
     begun = rows.select("k1", "k2", F.explode(F.filter(units, lambda u: u.isNotNull())).alias("u")).select("k1", "k2", "u.first_line", "u.lines")
     sizes = F.array_distinct(F.array(*[F.least(F.size("lines"), F.lit(n)) for n in SPANS]))
     sized = begun.select("k1", "k2", "first_line", F.explode(sizes).alias("n_lines"), "lines")
     joined = F.array_join(F.slice("lines", 1, F.col("n_lines")), " ")
     words = F.filter(F.transform(F.split(F.lower(joined), _SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
-    units = sized.select("k1", "k2", "first_line", "n_lines", words.alias("words")).distinct()
+    units = settle(sized.select("k1", "k2", "first_line", "n_lines", words.alias("words")).distinct())
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.col("words")[i + 1]))
     # Equal units are judged once.
     kinds = units.select("words").distinct()
