@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import settle, table
+from .frames import joined_back, settle, table
 
 #: The paragraphs of the notices of each family.
 TEMPLATES = {
@@ -195,19 +195,19 @@ def notices(docs: DataFrame, model: dict | None = None) -> DataFrame:
     units = settle(sized.select("k1", "k2", "first_line", "n_lines", words.alias("words")).distinct())
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.col("words")[i + 1]))
     # Equal units are judged once.
-    kinds = units.select("words").distinct()
-    grams = kinds.select("words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    kinds = units.groupBy("words").agg(F.count("*").alias("n"))
+    grams = kinds.select("words", "n", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     weights = spark.createDataFrame([(f, *map(float, w)) for f, w in zip(model["features"], model["weight"])], ", ".join(["gram string", *[f"w{i} double" for i in range(len(classes))]]))
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("words").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))])
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("words", "n").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))])
     logits = F.array(*[F.col(f"w{i}") + float(b) for i, b in enumerate(model["bias"])])
-    judged = sums.select("words", logits.alias("logits")).withColumn("top", F.array_max("logits"))
+    judged = sums.select("words", "n", logits.alias("logits")).withColumn("top", F.array_max("logits"))
     total = F.aggregate("logits", F.lit(0.0), lambda a, b: a + F.exp(b - F.col("top")))
     best = F.array_position("logits", F.col("top")).cast("int")
     judged = judged.withColumn("family", F.element_at(F.array(*map(F.lit, classes)), best)).withColumn("probability", F.round(1 / total, 6))
     judged = judged.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
     shares = [F.when(F.col("family") == name, F.size(F.array_intersect("words", F.array(*map(F.lit, own)))) / len(own)) for name, texts in TEMPLATES.items() for own in (sorted(set(words_of(t))) for t in texts)]
-    judged = judged.withColumn("template_share", F.round(F.greatest(*shares), 6)).where(F.col("template_share") >= LEAST_TEMPLATE).select("words", "family", "probability", "template_share")
-    hits = units.join(judged, "words").groupBy("k1", "k2", "first_line").agg(F.max(F.struct("template_share", "probability", (-F.col("n_lines")).alias("shorter"), "family")).alias("b"))
+    judged = judged.withColumn("template_share", F.round(F.greatest(*shares), 6)).where(F.col("template_share") >= LEAST_TEMPLATE).select("words", "n", "family", "probability", "template_share")
+    hits = joined_back(units, settle(judged), ["words"], ["k1", "first_line"]).groupBy("k1", "k2", "first_line").agg(F.max(F.struct("template_share", "probability", (-F.col("n_lines")).alias("shorter"), "family")).alias("b"))
     hits = hits.select("k1", "k2", "first_line", (F.col("first_line") - F.col("b.shorter") - 1).alias("last_line"), "b.family", "b.probability", "b.template_share")
     own = W.partitionBy("k1", "k2", "family").orderBy("first_line", "last_line")
     before = F.max("last_line").over(own.rowsBetween(W.unboundedPreceding, -1))
