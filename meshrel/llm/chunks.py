@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import settle, table
+from .frames import joined_back, settle, table
 from .suffixes import kept_bytes
 from .textkernel import BASE_INVERSE, BYTE_VALUES, SPACE, mix, powers, text_slices
 
@@ -22,6 +22,8 @@ LEAST_RUN = 160
 REACH = 256
 LONGEST_WORD = 64
 
+#: Values of bytes for the second digest of a chunk; 32 bits of it are kept.
+CHECK_VALUES = np.random.default_rng(20240613).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GEAR = np.random.default_rng(20240612).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,30 +77,32 @@ def chunk_ends(data: np.ndarray, spread: int = SPREAD, smallest: int = SMALLEST,
 
 
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t1, t2, text) to one row per text: parallel arrays of chunk digests and ends."""
+    """(row, t1, text) to one row per text: parallel arrays of two chunk digests and ends."""
     for batch in batches:
-        digests, ends = [], []
+        digests, checks, ends = [], [], []
         for lo, hi, data, off in text_slices(batch.column("text")):
-            prefix = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=prefix[1:])
-            inverse = powers(len(prefix), BASE_INVERSE)
+            prefixes = np.zeros((2, len(data) + 1), np.uint64)
+            for prefix, values in zip(prefixes, (BYTE_VALUES, CHECK_VALUES)):
+                np.cumsum(values[data] * powers(len(data)), out=prefix[1:])
+            inverse = powers(len(data) + 1, BASE_INVERSE)
             for i in range(hi - lo):
                 end = chunk_ends(data[off[i] : off[i + 1]])
                 at = np.concatenate(([0], end[:-1])) + off[i] if len(end) else end
                 size = (end + off[i] - at).astype(np.uint64)
-                digests.append(mix(mix((prefix[end + off[i]] - prefix[at]) * inverse[at]) + size).view(np.int64))
+                for prefix, out in zip(prefixes, (digests, checks)):
+                    out.append(mix(mix((prefix[end + off[i]] - prefix[at]) * inverse[at]) + size).view(np.int64))
                 ends.append(end.astype(np.int32))
         rows = np.concatenate(([0], np.cumsum([len(x) for x in ends]))).astype(np.int32)
-        out = [pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(x) if x else np.zeros(0, kind), kind())) for x, kind in ((digests, pa.int64), (ends, pa.int32))]
-        yield pa.record_batch([batch.column("row"), batch.column("t1"), *out], names=["row", "t1", "digests", "ends"])
+        out = [pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(x) if x else np.zeros(0, kind), kind())) for x, kind in ((digests, pa.int64), (checks, pa.int64), (ends, pa.int32))]
+        yield pa.record_batch([batch.column("row"), batch.column("t1"), *out], names=["row", "t1", "digests", "checks", "ends"])
 
 
 def _exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, t1, text) to (digest, row, t1, packed start and end) for each chunk."""
+    """(row, t1, text) to (digest, check, row, t1, packed start and end) for each chunk."""
     for batch in _chunker(batches):
         count = batch.column("ends").value_lengths().to_numpy()
         rows = pa.array(np.repeat(np.arange(len(count)), count))
-        digest, hi = batch.column("digests").flatten(), batch.column("ends").flatten().to_numpy().astype(np.int64)
+        digest, check, hi = batch.column("digests").flatten(), pa.array((batch.column("checks").flatten().to_numpy() >> 32).astype(np.int32)), batch.column("ends").flatten().to_numpy().astype(np.int64)
         if not len(hi):
             continue
         lo = np.concatenate(([0], hi[:-1]))
@@ -106,7 +110,7 @@ def _exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = pa.array((lo << 32) | hi)
         for a in range(0, len(hi), 100_000):
             at = rows.slice(a, 100_000)
-            yield pa.record_batch([digest.slice(a, 100_000), batch.column("row").take(at), batch.column("t1").take(at), packed.slice(a, 100_000)], names=["digest", "row", "t1", "packed"])
+            yield pa.record_batch([digest.slice(a, 100_000), check.slice(a, 100_000), batch.column("row").take(at), batch.column("t1").take(at), packed.slice(a, 100_000)], names=["digest", "check", "row", "t1", "packed"])
 
 
 def _run_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +213,8 @@ def _growth(texts: DataFrame, runs: DataFrame, reach: int) -> list[DataFrame]:
         reach *= 16
 
 
-def _span_merger(least_run: int):
-    """Merges the packed spans of each row; spans that touch are one, and those under ``least_run`` bytes go."""
+def _span_merger():
+    """Merges the packed spans of each row; spans that touch are one."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +225,7 @@ def _span_merger(least_run: int):
                 lo, hi = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
                 new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
                 last = np.concatenate((new[1:], [len(x)])) - 1
-                out.append([{"lo": a, "hi": b} for a, b in zip(lo[new].tolist(), hi[last].tolist()) if b - a >= least_run])
+                out.append([{"lo": a, "hi": b} for a, b in zip(lo[new].tolist(), hi[last].tolist())])
             yield pa.record_batch([batch.column("row"), batch.column("t1"), pa.array(out, kind)], names=["row", "t1", "spans"])
 
     return merge
@@ -234,7 +238,7 @@ def repeated_chunks(docs: DataFrame, least_run: int = LEAST_RUN, reach: int = RE
     digest also occurs at an earlier place, in order of doc_id, text digest and position; its first place
     stays. Unbroken runs of repeated chunks are seeds: they grow to both sides, byte by byte, as far as whole
     words agree with those around the first place of their outermost chunk. Only what is then at least ``least_run``
-    bytes is a span, so that a common phrase alone is left in place. Digest counts are grouped sums, combined
+    bytes, or a whole text, is a span, so that a common phrase alone is left in place. Digests have 96 bits; their counts are grouped sums, combined
     before the shuffle; only chunks with a repeated digest are gathered again, by row.
 
     Null texts are empty and have no spans. Rows without doc_id come first in the order. Repeated rows (equal
@@ -244,22 +248,24 @@ def repeated_chunks(docs: DataFrame, least_run: int = LEAST_RUN, reach: int = RE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("t1", F.xxhash64("text"))
     texts = rows.where("text <> ''").select("row", "t1", "text")
-    chunks = texts.mapInArrow(_exploder, "digest long, row long, t1 long, packed long")
-    counted = chunks.groupBy("digest").agg(F.count("*").alias("places"), F.min(F.struct("row", "t1", "packed")).alias("first")).where("places > 1").select("digest", "first")
+    chunks = texts.mapInArrow(_exploder, "digest long, check int, row long, t1 long, packed long")
+    counted = settle(chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "t1", "packed")).alias("first")).where("n > 1"))
     chunk = F.struct("packed", F.col("first.row").alias("first_row"), F.col("first.t1").alias("first_t1"), F.col("first.packed").alias("first"))
-    again = chunks.join(counted, "digest").groupBy("row", "t1").agg(F.collect_list(chunk).alias("chunks"))
+    again = joined_back(chunks, counted, ["digest", "check"], ["row", "t1", "packed"]).groupBy("row", "t1").agg(F.collect_list(chunk).alias("chunks"))
     schema = ", ".join(f"{n} long" for n in ("row", "t1", "lo", "hi", "left_row", "left_t1", "left", "right_row", "right_t1", "right"))
     runs = settle(again.mapInArrow(_run_finder, schema))
     pieces = runs.select("row", "t1", "lo", "hi")
     for grown in _growth(texts, runs, reach):
         pieces = pieces.unionByName(grown)
     packed = F.shiftleft(F.col("lo"), 32).bitwiseOR(F.col("hi"))
-    spans = pieces.groupBy("row", "t1").agg(F.collect_list(packed).alias("packed")).mapInArrow(_span_merger(least_run), "row long, t1 long, spans array<struct<lo:int,hi:int>>")
+    spans = pieces.groupBy("row", "t1").agg(F.collect_list(packed).alias("packed")).mapInArrow(_span_merger(), "row long, t1 long, spans array<struct<lo:int,hi:int>>")
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    return rows.join(spans, ["row", "t1"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    large = F.filter("spans", lambda s: (s["hi"] - s["lo"] >= least_run) | ((s["lo"] == 0) & (s["hi"] == F.octet_length("text"))))
+    return rows.join(spans, ["row", "t1"], "left").select("doc_id", "text", F.coalesce(large, none).alias("spans"))
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: what repeats earlier places, and the digest of the other bytes."""
     rows = repeated_chunks(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["hi"] - s["lo"])
     return rows.select(
