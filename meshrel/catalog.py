@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plans.report", "plans.aggregates", "plans.meshes", "plans.elements", "plans.graphs", "plans.clouds", "plans.sets"]
+MODULES = ["plans.report", "plans.aggregates", "plans.meshes", "plans.elements", "plans.graphs", "plans.clouds", "plans.sets", "plans.fields"]
 
 
 def queries() -> dict:

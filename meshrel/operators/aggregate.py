@@ -34,8 +34,8 @@ def weighted_sum(df: DataFrame, val: str, weight: str) -> DataFrame:
 def quantile(df: DataFrame, q: float | list[float], val: str = "val") -> DataFrame:
     """Exact quantiles with linear interpolation, one row each."""
     qs = [q] if isinstance(q, (int, float)) else list(q)
-    wide = df.agg(*[F.percentile(val, x).alias(f"q{i}") for i, x in enumerate(qs)])
-    pairs = F.array(*[F.struct(F.lit(float(x)).alias("q"), F.col(f"q{i}").alias("value")) for i, x in enumerate(qs)])
+    wide = df.agg(F.percentile(val, F.array(*[F.lit(float(x)) for x in qs])).alias("all"))
+    pairs = F.array(*[F.struct(F.lit(float(x)).alias("q"), F.col("all")[i].alias("value")) for i, x in enumerate(qs)])
     return wide.select(F.inline(pairs))
 
 

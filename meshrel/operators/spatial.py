@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import settle
+
 SIX = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -31,18 +33,18 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, radius: float, most_
 
     Balls of ``radius`` first; a query with k points within its ball is settled, the rest go on with twice
     the radius, until all have k points or the ball covers everything. Rounds follow the logarithm of the
-    largest distance.
+    largest distance. What is settled and what is left are written in each round, so no round computes the ones before.
     """
     total = points.limit(k).count()
     ranked = W.partitionBy("q").orderBy("d", "p")
     left, out = queries, None
     for _ in range(most_rounds):
-        found = ball_join(left, points, radius).withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < k)
+        found = settle(ball_join(left, points, radius).withColumn("rank", F.row_number().over(ranked) - 1).where(F.col("rank") < k))
         full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("q")
         settled = found.join(full, "q", "left_semi")
         out = settled if out is None else out.unionByName(settled)
-        left = left.join(full, "q", "left_anti")
-        if left.limit(1).count() == 0:
+        left = settle(left.join(full, "q", "left_anti"))
+        if left.isEmpty():
             return out
         radius *= 2
     raise RuntimeError("the radius is too small for these points")

@@ -97,11 +97,13 @@ def allclose(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    p = _prices(spark, sf_dir).select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 60).alias("col"), F.col("w").cast("long").alias("val"))
-    return A.csr_from_triplets(p, 37, 55)
+    """The table's own (supplier, part) matrix of quantities."""
+    p = _prices(spark, sf_dir).select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("w").cast("long").alias("val"))
+    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0], table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    return A.csr_from_triplets(p, n[0] + 1, n[1] + 1)
 
 
-MATRIX = "M AS (SELECT l_suppkey % 40 AS row, l_partkey % 60 AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem WHERE l_suppkey % 40 < 37 AND l_partkey % 60 < 55 GROUP BY 1, 2)"
+MATRIX = "M AS (SELECT l_suppkey AS row, l_partkey AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem WHERE l_suppkey >= 0 AND l_partkey >= 0 GROUP BY 1, 2)"
 
 
 def csr_from_triplets(spark, sf_dir):
@@ -114,7 +116,8 @@ def csr_transpose(spark, sf_dir):
 
 def spmv(spark, sf_dir):
     m = _matrix(spark, sf_dir)
-    return A.spmv(m, spark.range(55).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("val")))
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return A.spmv(m, spark.range(n).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("val")))
 
 
 def spgemm(spark, sf_dir):

@@ -11,15 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def height_field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (v, x, y, z) and faces (f, i0, i1, i2) of an open disk: parts on a square grid, the price as height."""
+    """Vertices (v, x, y, z) and faces (f, i0, i1, i2) of an open disk: all parts on a grid, the price as height; the last rows may be ragged."""
     part = table(spark, sf_dir, "part")
-    side = part.agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("n"), F.min("p_partkey").alias("k0"))
-    at = part.crossJoin(F.broadcast(side)).withColumn("v", F.col("p_partkey") - F.col("k0")).where("v < n * n")
-    verts = at.select("v", (F.col("v") % F.col("n")).cast("double").alias("x"), F.floor(F.col("v") / F.col("n")).cast("double").alias("y"), (F.col("p_retailprice") / 100).alias("z"), "n")
+    side = part.agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("n"), F.min("p_partkey").alias("k0"), F.max("p_partkey").alias("k1"))
+    at = part.crossJoin(F.broadcast(side)).withColumn("v", F.col("p_partkey") - F.col("k0")).withColumn("last", F.col("k1") - F.col("k0"))
+    verts = at.select("v", (F.col("v") % F.col("n")).cast("double").alias("x"), F.floor(F.col("v") / F.col("n")).cast("double").alias("y"), (F.col("p_retailprice") / 100).alias("z"), "n", "last")
     v, n = F.col("v"), F.col("n")
     halves = F.array(F.struct((v * 2).alias("f"), v.alias("i0"), (v + 1).alias("i1"), (v + n + 1).alias("i2")), F.struct((v * 2 + 1).alias("f"), v.alias("i0"), (v + n + 1).alias("i1"), (v + n).alias("i2")))
-    faces = verts.where("x < n - 1 and y < n - 1").select(F.inline(halves))
-    return verts.drop("n"), faces
+    faces = verts.where("x < n - 1 and v + n + 1 <= last").select(F.inline(halves))
+    return verts.drop("n", "last"), faces
 
 
 def torn_field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,12 +35,12 @@ def torn_field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 FIELD_SQL = """
-side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n, min(p_partkey) AS k0 FROM part),
+side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n, min(p_partkey) AS k0, max(p_partkey) AS k1 FROM part),
 VN AS (SELECT p_partkey - k0 AS v, CAST((p_partkey - k0) % n AS DOUBLE) AS x,
-              CAST((p_partkey - k0) // n AS DOUBLE) AS y, p_retailprice / 100 AS z, n
-       FROM part CROSS JOIN side WHERE p_partkey - k0 < n * n),
+              CAST((p_partkey - k0) // n AS DOUBLE) AS y, p_retailprice / 100 AS z, n, k1 - k0 AS last
+       FROM part CROSS JOIN side),
 V AS (SELECT v, x, y, z FROM VN),
-Q AS (SELECT v, n FROM VN WHERE x < n - 1 AND y < n - 1),
+Q AS (SELECT v, n FROM VN WHERE x < n - 1 AND v + n + 1 <= last),
 F0 AS (SELECT v * 2 AS f, v AS i0, v + 1 AS i1, v + n + 1 AS i2 FROM Q
        UNION ALL SELECT v * 2 + 1, v, v + n + 1, v + n FROM Q)
 """
