@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import geometry
+from .topology import boundary_edges
 
 Mesh = tuple[DataFrame, DataFrame]
 
@@ -38,15 +39,53 @@ def octahedron(spark: SparkSession) -> Mesh:
     return from_rows(spark, points, [(0, 2, 4), (2, 1, 4), (1, 3, 4), (3, 0, 4), (2, 0, 5), (1, 2, 5), (3, 1, 5), (0, 3, 5)])
 
 
-def icosahedron(spark: SparkSession) -> Mesh:
-    """Two poles and two rings of five, on the unit sphere."""
+def icosahedron_rows() -> tuple[list, list]:
     ring = lambda z, turn: [(2 / math.sqrt(5) * math.cos(a), 2 / math.sqrt(5) * math.sin(a), z) for a in ((2 * k + turn) * math.pi / 5 for k in range(5))]
     points = [(0, 0, 1), *ring(1 / math.sqrt(5), 0), *ring(-1 / math.sqrt(5), 1), (0, 0, -1)]
     faces = []
     for k in range(5):
         a, b, c, d = 1 + k, 1 + (k + 1) % 5, 6 + k, 6 + (k + 1) % 5
         faces += [(0, a, b), (a, c, b), (b, c, d), (11, d, c)]
-    return from_rows(spark, points, faces)
+    return points, faces
+
+
+def icosahedron(spark: SparkSession) -> Mesh:
+    """Two poles and two rings of five, on the unit sphere."""
+    return from_rows(spark, *icosahedron_rows())
+
+
+def dodecahedron(spark: SparkSession) -> Mesh:
+    """On the unit sphere, with outward faces: a vertex for each face of the icosahedron, a fan of three for each of its vertices."""
+    tops, faces = icosahedron_rows()
+    points = []
+    for f in faces:
+        middle = [sum(tops[i][x] for i in f) for x in range(3)]
+        size = math.sqrt(sum(c * c for c in middle))
+        points.append([c / size for c in middle])
+    rings = []
+    for i, top in enumerate(tops):
+        after = {f[(f.index(i) + 1) % 3]: (n, f[(f.index(i) + 2) % 3]) for n, f in enumerate(faces) if i in f}
+        at, ring = min(after), []
+        for _ in range(5):
+            n, at = after[at]
+            ring.append(n)
+        rings.append(ring)
+    return from_rows(spark, points, _fan(rings))
+
+
+def extrude_triangulation(vertices: DataFrame, faces: DataFrame, height: float) -> Mesh:
+    """A planar mesh (x, y) as a closed solid between z = 0 and ``height``: the bottom turned, a wall on each side of the boundary."""
+    top = vertices.agg((F.max("v") + 1).alias("n"))
+    last = faces.agg((F.max("f") + 1).alias("m"))
+    sides = boundary_edges(faces).select("org", "dst")
+    v = vertices.crossJoin(F.broadcast(top)).select(F.inline(F.array(F.struct("v", "x", "y", F.lit(0.0).alias("z")), F.struct((F.col("v") + F.col("n")).alias("v"), "x", "y", F.lit(float(height)).alias("z")))))
+    sizes = F.broadcast(top.crossJoin(last))
+    up = lambda c: F.col(c) + F.col("n")
+    lids = faces.crossJoin(sizes).select(F.inline(F.array(F.struct("f", "i0", F.col("i2").alias("i1"), F.col("i1").alias("i2")), F.struct((F.col("f") + F.col("m")).alias("f"), up("i0").alias("i0"), up("i1").alias("i1"), up("i2").alias("i2")))))
+    # A wall's number follows from the least corner of its side, of which each boundary vertex begins one.
+    number = F.col("m") * 2 + F.col("org") * 2
+    walls = sides.crossJoin(sizes).select(F.inline(F.array(F.struct(number.alias("f"), F.col("org").alias("i0"), F.col("dst").alias("i1"), up("dst").alias("i2")), F.struct((number + 1).alias("f"), F.col("org").alias("i0"), up("dst").alias("i1"), up("org").alias("i2")))))
+    return v, lids.unionByName(walls)
 
 
 def icosphere(spark: SparkSession, subdivisions: int = 3, radius: float = 1.0) -> Mesh:

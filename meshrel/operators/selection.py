@@ -157,3 +157,27 @@ def vertex_adjacency(faces: DataFrame) -> DataFrame:
     """(row, col, val): 1 for every edge, both ways."""
     e = unique_edges(faces).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     return both_ways(e).select(F.col("a").alias("row"), F.col("b").alias("col"), F.lit(1.0).alias("val"))
+
+
+def submesh(vertices: DataFrame, faces: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The faces (f) of ``chosen``, and the vertices that they use, renumbered as by ``compact``."""
+    return compact(vertices, faces.join(chosen.select("f").distinct(), "f", "left_semi"))
+
+
+def submesh_of_vertices(vertices: DataFrame, faces: DataFrame, chosen: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """The faces of which all, or any, vertices are chosen (v), renumbered as by ``compact``."""
+    return submesh(vertices, faces, faces_of_vertices(faces, chosen, mode))
+
+
+def submeshes(vertices: DataFrame, faces: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For groups (g, f) of faces: the vertices (g, v, x, y, z) and faces (g, f, i0, i1, i2) of each; ids stay, a face may be in several."""
+    own = faces.join(groups.select("g", "f").distinct(), "f")
+    used = own.select("g", F.explode(F.array("i0", "i1", "i2")).alias("v")).distinct()
+    return used.join(vertices.select("v", "x", "y", "z"), "v"), own.select("g", "f", "i0", "i1", "i2")
+
+
+def split_components(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The connected parts of a mesh as ``submeshes``, named by their least face."""
+    from .graph import face_components
+
+    return submeshes(vertices, faces, face_components(faces).select(F.col("label").alias("g"), "f"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import affine, boxes, creation, cutting, geometry, proximity, topology
 from ..operators import fields as D
+from ..operators import selection as S
 from ..operators import sequences as Q
+from ..operators import spatial as P
 from ..sources.derived import CORNERS_SQL, FIELD, height_field, table
 
 R = 5
@@ -263,6 +265,56 @@ def same_points(spark, sf_dir):
     return Q.points_allclose(v, moved, 1e-3).withColumnRenamed("close", "near").crossJoin(Q.points_allclose(v, far, 1e-3).withColumnRenamed("close", "far"))
 
 
+def sub_of_vertices(spark, sf_dir):
+    v, f = S.submesh_of_vertices(*height_field(spark, sf_dir), height_field(spark, sf_dir)[0].where("x + y < 60"))
+    return f.select("f", "source").crossJoin(v.agg(F.count("*").alias("n_vertices")))
+
+
+def sub_groups(spark, sf_dir):
+    v, f = height_field(spark, sf_dir)
+    gv, gf = S.submeshes(v, f, f.select((F.col("f") % 7).alias("g"), "f"))
+    return gv.groupBy("g").agg(F.count("*").alias("n_vertices")).join(gf.groupBy("g").agg(F.count("*").alias("n_faces")), "g")
+
+
+def sub_components(spark, sf_dir):
+    """The field cut along every seventh column."""
+    v, f = height_field(spark, sf_dir)
+    at = v.select(F.col("v").alias("i0"), F.col("x").cast("long").alias("x"))
+    gv, gf = S.split_components(v, f.join(at, "i0").where("x % 7 <> 3").select("f", "i0", "i1", "i2"))
+    return gv.groupBy("g").agg(F.count("*").alias("n_vertices")).join(gf.groupBy("g").agg(F.count("*").alias("n_faces")), "g")
+
+
+def _cloud(v):
+    return v.select(F.col("v").alias("p"), *"xyz")
+
+
+def ball_sums(spark, sf_dir):
+    v, _ = height_field(spark, sf_dir)
+    points = _cloud(v).withColumn("val", (F.col("p") % 5).cast("double"))
+    return _r(P.ball_sum(_over(v), points, 1.3, "val"), "total")
+
+
+def mutual(spark, sf_dir):
+    v, _ = height_field(spark, sf_dir)
+    return _r(P.mutual_nearest(_cloud(v), _over(v).withColumnRenamed("q", "p"), 1.0), "d")
+
+
+def closest_pair(spark, sf_dir):
+    v, _ = height_field(spark, sf_dir)
+    return _r(P.closest_pair(_cloud(v), P.initial_radius(_cloud(v), 2)), "d")
+
+
+def point_cells(spark, sf_dir):
+    v, _ = height_field(spark, sf_dir)
+    cells = P.cell_indices(v, 0.7, (0.1, 0.2, 0.3)).select("v", *"ijk")
+    grid = cells.where("i + j < 30")
+    return P.occupancy_at_cells(grid, cells).select("v", *"ijk", "occupied")
+
+
+def surface_points(spark, sf_dir):
+    return _r(P.sample_surface(*height_field(spark, sf_dir), 5000), *"xyz")
+
+
 def _over(v):
     return v.select(F.col("v").alias("q"), (F.col("x") + 0.37).alias("x"), (F.col("y") + 0.41).alias("y"), (F.col("z") + F.col("v") % 3 - 1).alias("z"))
 
@@ -369,6 +421,18 @@ SQL = {
     "same_points": "SELECT true AS near, false AS far",
     "near_column_hits": FC + OVER + """ SELECT q, f, round(a_z - (nx * (x - a_x) + ny * (y - a_y)) / nz - z, 5) + 0.0 AS height FROM O JOIN N ON x BETWEEN least(a_x, b_x, c_x) AND greatest(a_x, b_x, c_x) AND y BETWEEN least(a_y, b_y, c_y) AND greatest(a_y, b_y, c_y)
         WHERE (b_x - a_x) * (y - a_y) - (b_y - a_y) * (x - a_x) > 0 AND (c_x - b_x) * (y - b_y) - (c_y - b_y) * (x - b_x) > 0 AND (a_x - c_x) * (y - c_y) - (a_y - c_y) * (x - c_x) > 0""",
+    "sub_of_vertices": FIELD + """, I AS (SELECT v FROM V WHERE x + y < 60), K AS (SELECT f, i0, i1, i2 FROM F WHERE i0 IN (FROM I) AND i1 IN (FROM I) AND i2 IN (FROM I)), U AS (SELECT i0 AS v FROM K UNION SELECT i1 FROM K UNION SELECT i2 FROM K)
+        SELECT row_number() OVER (ORDER BY f) - 1 AS f, f AS source, (SELECT count(*) FROM U) AS n_vertices FROM K""",
+    "sub_groups": FIELD + " SELECT f % 7 AS g, count(DISTINCT org) AS n_vertices, count(DISTINCT f) AS n_faces FROM H GROUP BY 1",
+    "sub_components": FIELD + ", K AS (SELECT f, CAST(x AS BIGINT) AS x FROM F JOIN V ON v = i0 WHERE CAST(x AS BIGINT) % 7 <> 3) SELECT min(f) AS g, count(DISTINCT org) AS n_vertices, count(DISTINCT f) AS n_faces FROM K JOIN H USING (f) GROUP BY (x + 3) // 7",
+    "near_ball_sums": FIELD + OVER + " SELECT O.q, count(V.v) AS n, round(coalesce(sum((V.v % 5)::DOUBLE), 0.0), 5) + 0.0 AS total FROM O LEFT JOIN V ON (O.x - V.x) ** 2 + (O.y - V.y) ** 2 + (O.z - V.z) ** 2 <= 1.69 GROUP BY O.q",
+    "near_mutual": FIELD + OVER + """, D AS (SELECT v AS p, q, sqrt((O.x - V.x) ** 2 + (O.y - V.y) ** 2 + (O.z - V.z) ** 2) AS d FROM V, O),
+        A AS (SELECT p, q, d, row_number() OVER (PARTITION BY p ORDER BY d, q) AS r, row_number() OVER (PARTITION BY q ORDER BY d, p) AS s FROM D) SELECT p, q, round(d, 5) + 0.0 AS d FROM A WHERE r = 1 AND s = 1""",
+    "near_closest_pair": FIELD + " SELECT a.v AS p, b.v AS q, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 5) + 0.0 AS d FROM V a JOIN V b ON a.v < b.v ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), a.v, b.v LIMIT 1",
+    "near_cells": FIELD + ", K AS (SELECT v, floor((x - 0.1::DOUBLE) / 0.7::DOUBLE)::BIGINT AS i, floor((y - 0.2::DOUBLE) / 0.7::DOUBLE)::BIGINT AS j, floor((z - 0.3::DOUBLE) / 0.7::DOUBLE)::BIGINT AS k FROM V) SELECT v, i, j, k, i + j < 30 AS occupied FROM K",
+    "near_surface_points": FC + AREAS + """, W AS (SELECT *, sum(area) OVER () AS whole FROM A), U AS (SELECT *, CAST(floor(area / whole * 5000 + ('0x' || substr(md5('1:' || f || ':n'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS BIGINT) AS n FROM W),
+        K AS (SELECT *, unnest(range(n)) AS k FROM U WHERE n > 0), T AS (SELECT *, sqrt(('0x' || substr(md5('1:' || f || ':' || k || ':r'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS r, ('0x' || substr(md5('1:' || f || ':' || k || ':t'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS t FROM K)
+        SELECT f, k, round((1 - r) * a_x + r * (1 - t) * b_x + r * t * c_x, 5) + 0.0 AS x, round((1 - r) * a_y + r * (1 - t) * b_y + r * t * c_y, 5) + 0.0 AS y, round((1 - r) * a_z + r * (1 - t) * b_z + r * t * c_z, 5) + 0.0 AS z FROM T""",
     "near_contained": """WITH P AS (SELECT p_partkey AS q, p_partkey * 37 % 61 / 10.0::DOUBLE - 3 AS x, p_partkey * 53 % 67 / 11.0::DOUBLE - 3 AS y, p_partkey * 11 % 13 / 10.0::DOUBLE - 0.6::DOUBLE AS z FROM part), D AS (SELECT q, (sqrt(x ** 2 + y ** 2) - 2) ** 2 + z ** 2 - 0.25 AS d FROM P) SELECT q, d < 0 AS inside FROM D WHERE abs(d) > 0.06""",
 }
 SQL["mesh_cot_intrinsic"] = SQL["mesh_cot_entries"]
@@ -379,5 +443,5 @@ QUERIES = {
     "affine_points": moved_points, "affine_vectors": moved_vectors, "affine_normals": moved_normals, "affine_mesh": moved_mesh, "affine_facts": matrix_facts, "box_facts": box_facts, "box_oriented": oriented_box, "box_crop": cropped,
     "cut_edges": edge_cuts, "cut_plane": plane_segments, "cut_level": level_segments, "cut_split": split_areas, "cut_slice": sliced_area, "cut_along_field": field_split,
     "seq_ranges": ranges, "seq_packed": packed, "seq_key_counts": key_counts, "seq_sorted_rows": sorted_rows, "seq_edge_keys": edge_keys, "seq_edge_inverse": edge_inverse, "seq_bit_ranks": bit_ranks, "seq_block_diagonal": block_diagonal,
-    "same_faces": same_faces, "same_points": same_points, "near_on_mesh": nearest_on_mesh, "near_distance": mesh_distance, "near_column_hits": column_hits, "near_contained": contained,
+    "same_faces": same_faces, "same_points": same_points, "near_on_mesh": nearest_on_mesh, "near_distance": mesh_distance, "near_column_hits": column_hits, "near_contained": contained, "sub_of_vertices": sub_of_vertices, "sub_groups": sub_groups, "sub_components": sub_components, "near_ball_sums": ball_sums, "near_mutual": mutual, "near_closest_pair": closest_pair, "near_cells": point_cells, "near_surface_points": surface_points,
 }
