@@ -4,13 +4,15 @@ The global order of n-grams is that of their 64-bit hashes; a *fragment* is an e
 
 1. Each document's n-gram set is cut into the fragments of its two size classes. Two sets of Jaccard
    similarity of at least t differ in at most (1 - t) / (1 + t) * (|A| + |B|) n-grams, each of which spoils
-   one fragment; with more fragments than that, at least one is the same on both sides. Equal fragments
-   make a star of candidates, never all pairs. A node of a star is a set in one of its classes.
-2. Connected components of the stars hold every linked pair, and sets of similar sizes only. Large ones are
-   cut into hashed blocks, and each pair of blocks is one task of bounded size.
-3. A bit per narrow interval of the order tells whether a set has n-grams there. Bits that differ bound the
-   n-grams that differ from below, so within a pair of blocks the bits alone rule out most pairs. The
-   components of the rest are small, and only their whole sets are shipped.
+   one fragment; with more fragments than that, at least one is the same on both sides. The sets of an equal
+   fragment are a *meeting*. Its hub is a set whose own class it is; a meeting without one is of no use.
+2. A bit per narrow interval of the order tells whether a set has n-grams there. Bits that differ bound the
+   n-grams that differ from below, so they rule out most pairs. Hubs are compared with the other sets of their
+   meetings by bits, as many pairs as there are sets in meetings. Connected sets need no more comparison.
+3. Only meetings of three sets or more that are not all connected by then, each different one once, are compared
+   in full by bits; large ones in hashed blocks, each pair of blocks a task of bounded size. Unlike the
+   components of all meetings, single meetings do not run together as the corpus grows. The components of
+   all that bits have not ruled out hold every linked pair, and only their whole sets are shipped.
 4. Within a pair of blocks of those the n-grams are cut into fragments again; the overlaps of all pairs of
    documents are counted fragment by fragment as a product of incidence matrices, and summed per pair. Only
    links of the exact similarity leave the task, as one row per document: its least linked partner and its links.
@@ -56,6 +58,12 @@ def _short(signature: bytes) -> int:
     return int.from_bytes(signature[:8], "big", signed=True)
 
 
+def _node(short: int, c: int, top: bool) -> int:
+    """The set ``short`` in class ``c``; negative, so before others in order, if that is the set's own class."""
+    low = (short ^ (c + 1) * NODE) & (1 << 63) - 1
+    return low - (1 << 63) if top else low
+
+
 def own_class(n: int, per: int) -> int:
     """The power of 100 / per below or at a size of n."""
     return int(math.floor(math.log(n) / math.log(100 / per) + 1e-9))
@@ -134,9 +142,9 @@ def _keyer(k: int, per: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                for c, key in fragment_keys(s, per):
+                for up, (c, key) in enumerate(fragment_keys(s, per)):
                     keys.append(key.view(np.int64))
-                    nodes.append(np.full(len(key), node ^ (c + 1) * NODE, np.int64))
+                    nodes.append(np.full(len(key), _node(node, c, not up), np.int64))
                     held += len(key)
                 if held > 200_000:
                     yield pa.record_batch([np.concatenate(keys), np.concatenate(nodes)], names=["key", "node"])
@@ -148,7 +156,7 @@ def _keyer(k: int, per: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, node): (first node of the key, node) for each other node of it."""
+    """From rows sorted by (key, node): (key, first node of the key, node) for each other node of it, if the first is of its own class."""
     last_key = last_node = hub = None
     for batch in batches:
         n = batch.num_rows
@@ -165,11 +173,33 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = (node[1:] != node[:-1]) | new[1:]
         if not new[0] and node[0] == last_node:
             fresh[0] = False
-        keep = fresh & (hubs != node)
+        keep = fresh & (hubs != node) & (hubs < 0)
         last_key, last_node, hub = int(key[-1]), int(node[-1]), int(hubs[-1])
         if keep.any():
-            pair = np.unique(np.stack([hubs[keep], node[keep]], 1), axis=0)
-            yield pa.record_batch([np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])], names=["a", "b"])
+            yield pa.record_batch([key[keep], hubs[keep], node[keep]], names=["key", "a", "b"])
+
+
+def _halved(bits: np.ndarray, least: int) -> np.ndarray:
+    while len(bits) > least:
+        wide = np.unpackbits(bits)
+        bits = np.packbits(wide[::2] | wide[1::2])
+    return bits
+
+
+def _closer(per: int):
+    """Keeps the pairs (a, b) that their bits do not rule out."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - per)
+            differ = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                least = min(len(x), len(y))
+                differ[i] = np.bitwise_count(_halved(x, least) ^ _halved(y, least)).sum()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + per) * differ <= both))
+
+    return close
 
 
 def _packer(k: int):
@@ -227,13 +257,7 @@ def shared_bits(left: list[np.ndarray], right: list[np.ndarray], cells: int = CE
     least = min(len(b) for b in (*left, *right))
     sides = []
     for side in (left, right):
-        rows = []
-        for b in side:
-            while len(b) > least:
-                wide = np.unpackbits(b)
-                b = np.packbits(wide[::2] | wide[1::2])
-            rows.append(b)
-        sides.append(np.stack(rows))
+        sides.append(np.stack([_halved(b, least) for b in side]))
     common = np.zeros((len(left), len(right)), np.float32)
     held = [np.zeros(len(side), np.float32) for side in sides]
     step = max(1, cells // 8 // max(len(left), len(right)))
@@ -360,6 +384,38 @@ def _sized(inside: DataFrame, row: str, size) -> DataFrame:
     return salted.join(many, ["cluster", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("salt")
 
 
+def _near(pairs: DataFrame, places: DataFrame, bits: DataFrame, per: int) -> DataFrame:
+    """(node, label): components that hold every linked pair; pairs: (key, a, b), the meetings as hub and other node.
+
+    Rows of a hot hub or a hot meeting are dealt over salts.
+    """
+    edges = settle(pairs.select("a", "b").distinct())
+    degree = settle(edges.groupBy("a").agg(F.count("*").alias("n")))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = settle(places.join(nodes, "node").join(bits, ["rep", "sig"]).select("node", "own", "top", "n_shingles", "packed"))
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("packed").alias(f"bits_{name}"))
+
+    both = joined_back(edges, settle(degree.join(side("a"), "a")), ["a"], ["b"]).join(side("b"), "b")
+    close = settle(both.mapInArrow(_closer(per), "a long, b long"))
+
+    labels = components(close)
+    hubs = settle(degree.join(labels.toDF("a", "of_a"), "a", "left").select("a", "n", F.coalesce("of_a", "a").alias("of_a")))
+    apart = joined_back(edges, hubs, ["a"], ["b"]).join(labels.toDF("b", "of_b"), "b", "left").where(F.coalesce("of_b", "b") != F.col("of_a"))
+    # A meeting of two is settled by its one pair. Meetings of the same sets are told by two sums of hashes.
+    open_keys = pairs.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    one, two = F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", F.lit(1), "a").cast("decimal(38,0)"))
+    meetings = pairs.groupBy("key").agg(F.count("*").alias("n"), F.first("a").alias("a"), one.alias("one"), two.alias("two")).where("n > 1")
+    meetings = settle(meetings.join(open_keys, "key", "left_semi").groupBy("a", "n", "one", "two").agg(F.min("key").alias("key")).select("key", "a", "n"))
+    others = joined_back(pairs.select("key", "b"), meetings.select("key", "n"), ["key"], ["b"])
+    inside = others.toDF("cluster", "node").unionByName(meetings.select(F.col("key").alias("cluster"), F.col("a").alias("node")))
+    inside = settle(inside.join(sets.select("node", "own"), "node"))
+    inside = _sized(inside, "node", F.pow(F.lit(100 / per), F.col("own")) / 2).drop("own")
+    found = _met(inside.join(sets.drop("own"), "node").withColumnRenamed("node", "id"), _bounder(per), "a long, b long")
+    return components(close.unionByName(found))
+
+
 def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     """Links documents whose sets of k-word shingles have a Jaccard similarity of at least per / 100.
 
@@ -379,19 +435,17 @@ def jaccard_links(docs: DataFrame, k: int = 5, per: int = 80) -> DataFrame:
     signed = settle(docs.mapInArrow(_signer(k, per), "doc_id long, n_shingles long, sig binary, own int, bits binary"))
     named = docs.where("doc_id is not null")
     keys = named.mapInArrow(_keyer(k, per), "key long, node long")
-    stars = keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
+    pairs = settle(keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, a long, b long"))
 
     rows = signed.where("sig is not null and doc_id is not null")
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"), F.count("*").alias("n"))
     short = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     places = classes.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    places = places.select("sig", "rep", "n_shingles", "own", short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).alias("node"), (F.col("up") == 0).alias("top"))
-
-    bytes_of_bits = F.pow(F.lit(100 / per), F.col("own")) / 2
-    inside = _sized(places.join(components(stars).withColumnRenamed("label", "cluster"), "node"), "node", bytes_of_bits)
+    low = short.bitwiseXOR((F.col("own") + F.col("up") + 1) * F.lit(NODE)).bitwiseAND(F.lit((1 << 63) - 1))
+    node = F.when(F.col("up") == 0, low.bitwiseOR(F.expr("shiftleft(1L, 63)"))).otherwise(low)
+    places = places.select("sig", "rep", "n_shingles", "own", node.alias("node"), (F.col("up") == 0).alias("top"))
     bits = rows.groupBy(F.col("doc_id").alias("rep"), "sig").agg(F.first("bits").alias("packed"))
-    inside = inside.join(bits, ["rep", "sig"]).withColumnRenamed("node", "id")
-    near = components(_met(inside, _bounder(per), "a long, b long"))
+    near = _near(pairs, places, bits, per)
 
     inside = _sized(places.join(near.withColumnRenamed("label", "cluster"), "node"), "node", F.col("n_shingles") * 8)
     inside = inside.groupBy(F.col("sig").alias("id"), F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("cluster", "blocks", "top", "n_shingles")).alias("places"))
