@@ -200,10 +200,10 @@ def _growth(texts: DataFrame, runs: DataFrame, reach: int) -> list[DataFrame]:
         places = places.groupBy("row", "t1").agg(F.collect_list("place").alias("places"))
         # Repeated rows are one place.
         around = texts.join(places, ["row", "t1"]).groupBy("row", "t1").agg(F.first("text").alias("text"), F.first("places").alias("places"))
-        around = settle(around.mapInArrow(_surroundings(reach), "row long, t1 long, place long, bytes binary"))
+        around = settle(around.mapInArrow(_surroundings(reach), "row long, t1 long, place long, bytes binary"), free=True)
         theirs = around.select(F.col("row").alias("from_row"), F.col("t1").alias("from_t1"), F.col("place").alias("from_place"), F.col("bytes").alias("theirs"))
         pairs = todo.join(around.withColumnRenamed("bytes", "mine"), ["row", "t1", "place"]).join(theirs, ["from_row", "from_t1", "from_place"])
-        found = settle(pairs.mapInArrow(_agreeing(reach), "row long, t1 long, place long, from_row long, from_t1 long, from_place long, size long, open boolean"))
+        found = settle(pairs.mapInArrow(_agreeing(reach), "row long, t1 long, place long, from_row long, from_t1 long, from_place long, size long, open boolean"), free=True)
         at = F.shiftright("place", 1)
         before = F.col("place") % 2 == 0
         out.append(found.where("size > 0 and not open").select("row", "t1", F.when(before, at - F.col("size")).otherwise(at).alias("lo"), F.when(before, at).otherwise(at + F.col("size")).alias("hi")))
@@ -249,11 +249,11 @@ def repeated_chunks(docs: DataFrame, least_run: int = LEAST_RUN, reach: int = RE
     rows = rows.withColumn("row", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("t1", F.xxhash64("text"))
     texts = rows.where("text <> ''").select("row", "t1", "text")
     chunks = texts.mapInArrow(_exploder, "digest long, check int, row long, t1 long, packed long")
-    counted = settle(chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "t1", "packed")).alias("first")).where("n > 1"))
+    counted = settle(chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "t1", "packed")).alias("first")).where("n > 1"), free=True)
     chunk = F.struct("packed", F.col("first.row").alias("first_row"), F.col("first.t1").alias("first_t1"), F.col("first.packed").alias("first"))
     again = joined_back(chunks, counted, ["digest", "check"], ["row", "t1", "packed"]).groupBy("row", "t1").agg(F.collect_list(chunk).alias("chunks"))
     schema = ", ".join(f"{n} long" for n in ("row", "t1", "lo", "hi", "left_row", "left_t1", "left", "right_row", "right_t1", "right"))
-    runs = settle(again.mapInArrow(_run_finder, schema))
+    runs = settle(again.mapInArrow(_run_finder, schema), free=True)
     pieces = runs.select("row", "t1", "lo", "hi")
     for grown in _growth(texts, runs, reach):
         pieces = pieces.unionByName(grown)

@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -66,3 +68,17 @@ def test_growth_goes_on_beyond_one_round(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     far = {r.doc_id: r.spans for r in chunks.repeated_chunks(docs, reach=2).collect()}
     assert far == {r.doc_id: r.spans for r in chunks.repeated_chunks(docs).collect()} and all(far[i] for i in want)
+
+
+def test_shuffle_files_go_once_their_step_is_settled(spark):
+    folders = [Path(p) for p in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p: p.stat().st_size for f in folders for p in f.rglob("shuffle_*.data") if p.exists()}
+    docs = spark.createDataFrame(_short_passages(100)[0], "doc_id long, text string")
+    before = files()
+    rows = chunks.repeated_chunks(docs)
+    for _ in range(50):
+        left = sum(size for p, size in files().items() if p not in before)
+        if left < 5_000:  # counts of one row a task stay
+            break
+        time.sleep(0.2)
+    assert left < 5_000 and sum(len(r.spans) for r in rows.collect()) == 100
