@@ -18,11 +18,18 @@ UNREACHED = 2**31 - 1
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names."""
-    context = df.sparkSession.sparkContext
+    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names.
+
+    Spark hands the estimated size of a plan on to its checkpoint, and that of a join is the product of its sides:
+    joined with itself, it has twice the digits after each round, which fill the driver after some twenty. So only
+    the checkpoint's rows are taken over, without the estimate.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

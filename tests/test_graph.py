@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshrel.operators import creation as C
 from meshrel.operators import geometry, topology
@@ -37,6 +38,14 @@ def test_a_chain_that_meets_a_cycle_is_not_of_it(spark):
     assert sorted(map(tuple, G.successor_cycles(edges).collect())) == [(1, 0, 1), (1, 1, 2), (1, 2, 3)]
 
 
+def test_the_estimated_size_does_not_grow_with_the_rounds(spark):
+    state, sizes = G.settle(spark.range(4).select(F.col("id").alias("v"), F.col("id").alias("to"))), []
+    for _ in range(6):
+        state = G.settle(state.join(state.select(F.col("v").alias("to"), F.col("to").alias("far")), "to").select("v", F.col("far").alias("to")))
+        sizes.append(int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert state.count() == 4 and sizes[-1] <= sizes[0]
+
+
 def test_envelope_agrees_with_dijkstra(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 9))) for _ in range(70)]
