@@ -6,8 +6,11 @@ checkpoint, so that plans stay short and a lost executor costs one round. Edges
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from . import topology
 
 #: Hops of a node that no seed reaches within the bound.
 UNREACHED = 2**31 - 1
+#: Nodes of a block of the envelope, and the nodes or edges that one task may hold of it.
+BLOCK_NODES, BLOCK_EDGES = 2**16, 2**21
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -102,13 +107,19 @@ def shrink_selection(edges: DataFrame, chosen: DataFrame, nodes: DataFrame, hops
     return hop_distances(edges, outside, nodes, hops).where(F.col("hops") > hops).select("v")
 
 
-def path_envelope(edges: DataFrame, values: DataFrame, max_rounds: int = 0) -> DataFrame:
+def path_envelope(edges: DataFrame, values: DataFrame, max_rounds: int = 0, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(v, value) lowered to the least of value(u) + d(u, v) over edges (a, b, w >= 0), both ways.
 
-    Each round relaxes over one more edge; ``max_rounds`` 0 goes on until nothing changes.
+    With ``max_rounds`` each round relaxes over one more edge. With 0 nothing is left to lower: blocks of about ``block_nodes``
+    nodes near in id are settled whole, then offer each other what their cross edges give, until none takes an offer, so
+    rounds follow the blocks that a path passes. Blocks too heavy for a task, and ids or values that are no numbers of
+    64 bits, take the way of one edge a round.
     """
     pairs = settle(both_ways(edges.select("a", "b", "w")))
     state, done = settle(values.select("v", "value")), 0
+    dealt = None if max_rounds else _dealt(pairs, state, block_nodes)
+    if dealt is not None:
+        return _envelope_by_blocks(*dealt)
     while True:
         over = pairs.join(state.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min(F.col("value") + F.col("w")).alias("over"))
         after = settle(state.join(over, "v", "left").select("v", F.least("value", "over").alias("value"), (F.col("over") < F.col("value")).alias("moved")))
@@ -117,6 +128,63 @@ def path_envelope(edges: DataFrame, values: DataFrame, max_rounds: int = 0) -> D
             return state
 
 
+def _dealt(pairs: DataFrame, state: DataFrame, block_nodes: int) -> tuple[DataFrame, DataFrame] | None:
+    """(block, v, value) and (block, other, a, b, w), the blocks of b and a; none if a block would not do."""
+    kinds = dict(state.dtypes) | dict(pairs.dtypes)
+    if not {kinds[c] for c in "vab"} <= {"int", "bigint"} or "double" not in (kinds["value"], kinds["w"]):
+        return None
+    parts = max(1, -(-state.count() // block_nodes))
+    bounds = state.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    block = lambda c: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(c))) if bounds else F.lit(0)
+    known = lambda c: state.select(F.col("v").alias(c))
+    links = pairs.withColumn("w", F.col("w").cast("double")).where("w is not null and not isnan(w)").join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi")
+    links = settle(links.select(block("b").alias("block"), block("a").alias("other"), "a", "b", "w"))
+    nodes = settle(state.select(block("v").alias("block"), "v", F.col("value").cast("double").alias("value")))
+    most = lambda df: df.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most(nodes) > BLOCK_EDGES or most(links.where("block = other")) > BLOCK_EDGES:
+        return None
+    return nodes, links
+
+
+def _envelope_by_blocks(state: DataFrame, links: DataFrame) -> DataFrame:
+    inner, cross = links.where("block = other").select("block", "a", "b", "w"), links.where("block <> other")
+    nodes, near, first = state.withColumn("over", F.col("value")), inner, True
+    while True:
+        low = settle(nodes.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(_settled_block, "v long, low double"))
+        state = settle(state.join(low, "v", "left").select("block", "v", F.coalesce("low", "value").alias("value")))
+        source = state.select(F.col("v").alias("a"), F.col("value").alias("low")) if first else low.withColumnRenamed("v", "a")
+        offers = cross.join(source, "a").groupBy(F.col("b").alias("v")).agg(F.min(F.col("low") + F.col("w")).alias("over"))
+        offers, first = settle(offers.join(state, "v").where("over is not null and (value is null or over < value)").select("block", "v", "over")), False
+        if offers.isEmpty():
+            return state.select("v", "value")
+        open_ = F.broadcast(offers.select("block").distinct())
+        nodes = state.join(open_, "block", "left_semi").join(offers.select("v", "over"), "v", "left")
+        near = inner.join(open_, "block", "left_semi")
+
+
+def _settled_block(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(v, low) of a block's nodes (v, value, over) that the offers ``over`` lower, along its edges (a, b, w): Dijkstra's."""
+    nodes = nodes.sort_values("v")
+    v, value, over = nodes["v"].to_numpy(), nodes["value"].fillna(np.inf).to_numpy(), nodes["over"].fillna(np.inf).to_numpy()
+    edges = edges.sort_values("a")
+    first = np.searchsorted(edges["a"].to_numpy(), v, "left").tolist()
+    last = np.searchsorted(edges["a"].to_numpy(), v, "right").tolist()
+    ends, w = np.searchsorted(v, edges["b"].to_numpy()).tolist(), edges["w"].tolist()
+    best = np.minimum(value, over).tolist()
+    heap = [(over[i].item(), i) for i in np.flatnonzero(over < np.inf).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        x, i = heapq.heappop(heap)
+        if x > best[i]:
+            continue
+        for k in range(first[i], last[i]):
+            if (y := x + w[k]) < best[ends[k]]:
+                best[ends[k]] = y
+                heapq.heappush(heap, (y, ends[k]))
+    found = np.array(best, dtype="float64")
+    return pd.DataFrame({"v": v[found < value], "low": found[found < value]})
+
+
 def successor_cycles(edges: DataFrame) -> DataFrame:
     """(cycle, pos, v) of the cycles of a -> b: from its least node, which names it, along the edges.
 

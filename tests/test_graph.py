@@ -63,6 +63,17 @@ def test_envelope_agrees_with_dijkstra(spark):
     assert dict(map(tuple, found.collect())) == best
 
 
+@pytest.mark.parametrize("block_nodes", [2**16, 60])
+def test_envelope_takes_few_rounds_on_a_long_path(spark, monkeypatch, block_nodes):
+    rounds, settle = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df: settle(df) if len(rounds) < 24 and not rounds.append(1) else pytest.fail("too many rounds"))
+    edges = spark.createDataFrame([(i, i + 1, 0.5) for i in range(199)] + [(7, 9999, 1.0), (3, 4, None)], "a long, b long, w double")
+    values = spark.createDataFrame([(v, 10.0 if v == 0 else None if v == 50 else 1000.0) for v in range(201)], "v long, value double")
+    kwargs = {} if block_nodes == 2**16 else {"block_nodes": block_nodes}
+    found = dict(map(tuple, G.path_envelope(edges, values, **kwargs).collect()))
+    assert found == {**{v: 10 + v / 2 for v in range(200)}, 200: 1000.0}
+
+
 def test_hops_stop_at_the_bound(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(8)], "v long")
