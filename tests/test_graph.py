@@ -88,6 +88,13 @@ def test_the_rim_of_a_grid_is_one_loop(spark):
     assert len(m) == 1 and m[0].cycle == 0 and m[0].n == 14 and math.isclose(m[0].perimeter, 14) and math.isclose(m[0].az, 12)
 
 
+def test_the_longest_loop_keeps_a_short_size_estimate(spark):
+    """Estimates that grew with the rounds filled the driver."""
+    _, f = C.grid(spark, (5, 4), (4.0, 3.0))
+    found = G.longest_loop(G.boundary_loops(f))
+    assert found.count() == 14 and int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**1000
+
+
 @pytest.mark.parametrize(
     "make, counts, euler, volume",
     [
