@@ -95,6 +95,12 @@ def test_the_longest_loop_keeps_a_short_size_estimate(spark):
     assert found.count() == 14 and int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**1000
 
 
+def test_loop_measures_keep_a_short_size_estimate(spark):
+    v, f = C.grid(spark, (5, 4), (4.0, 3.0))
+    found = G.loop_measures(v, G.boundary_loops(f))
+    assert found.count() == 1 and int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**1500
+
+
 @pytest.mark.parametrize(
     "make, counts, euler, volume",
     [
